@@ -6,7 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillstream.llm import canonical_records as p5
+from quillstream.llm import leaks as p7
+from quillstream.llm import near_duplicates as p4
 from quillstream.llm import repeated_lines as p1
+from quillstream.llm import top_per_group as p6
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -21,6 +25,30 @@ def p1_clean_articles(spark: SparkSession, sf: str) -> DataFrame:
     return p1.without_repeated_lines(_table(spark, sf, "articles"))
 
 
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p4.alike_pairs(_table(spark, sf, "articles"))
+
+
+def p4_groups(spark: SparkSession, sf: str) -> DataFrame:
+    return p4.alike_groups(_table(spark, sf, "articles"))
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p5.event_copies(_table(spark, sf, "assessments"))
+
+
+def p5_events(spark: SparkSession, sf: str) -> DataFrame:
+    return p5.distinct_events(_table(spark, sf, "assessments"))
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p6.best_articles(_table(spark, sf, "ranked_articles")).select("edition_id", "category", "article_id")
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p7.leaked_items(_table(spark, sf, "documents"), _table(spark, sf, "eval_items")).select("doc_id", "item_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit() and "_" in k and callable(v)}
 
