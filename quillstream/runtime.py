@@ -7,6 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,9 +69,23 @@ def broadcast_if_small(df: DataFrame, row_bytes: int = 64, rows: int = BROADCAST
     return F.broadcast(df) if small(df, row_bytes, rows, size) else df
 
 
-def scratch_count(spark: SparkSession) -> int:
-    return len(_tables.get(spark.sparkContext.applicationId, []))
+_shipped: set[str] = set()
 
 
-def is_local_path(path: str) -> bool:
-    return path.startswith("file:") or os.path.isabs(path)
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers, once per application."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    folder = tempfile.mkdtemp(prefix="quillstream-ship-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = os.path.join(folder, "quillstream.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for path, _, names in os.walk(os.path.join(root, "quillstream")):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(path, name)
+                    z.write(full, os.path.relpath(full, root))
+    spark.sparkContext.addPyFile(archive)
+    _shipped.add(app)
