@@ -96,6 +96,51 @@ def class_ids(code: K.Batch, w: K.Words) -> np.ndarray:
     return (K.stretch_hash(prefix, lo, hi) ^ K.mix64(K.stretch_hash(high, lo, hi) + np.uint64(1))).view(np.int64)
 
 
+def _ranked_sets(batches, order, words: int):
+    """Per slice of texts: classes, and the sets of classes not seen before in this task as (row, element, place, size), rare elements first."""
+    seen: set[int] = set()
+    for batch in batches:
+        for _, code, w in batches_of_text(batch):
+            classes = class_ids(code, w)
+            h, at = K.shingles(w, words)
+            doc = w.doc[at]
+            fresh = np.zeros(code.size, dtype=bool)
+            for i, c in enumerate(classes.tolist()):
+                if c not in seen:
+                    seen.add(c)
+                    fresh[i] = True
+            keep = fresh[doc]
+            doc, h = K.distinct_per_doc(doc[keep], h[keep])
+            if not len(h):
+                continue
+            size = np.bincount(doc, minlength=code.size)
+            o = np.lexsort((h, order.value.estimate(h), doc))
+            doc, h = doc[o], h[o]
+            yield classes, doc, h, np.arange(len(h)) - (np.cumsum(size) - size)[doc], size
+
+
+def _prefixes(classes, doc, h, place, size, light: int, t: float):
+    """Entries (key, class_id, place, size) of ranked sets: the prefix for inverted lists, and pairs of it for light sets."""
+    n = size[doc]
+    # The least overlap a set of n can need is with a set of t * n elements.
+    m = place < n - np.ceil(t * n - 1e-9) + MEET
+    doc, h, place, n = doc[m], h[m], place[m], n[m]
+    yield [h, classes[doc], place.astype(np.int32), n.astype(np.int32)]
+    for i in np.unique(doc[n <= light]):
+        own = h[doc == i]
+        a, b = np.triu_indices(len(own), 1)
+        lo, hi = np.minimum(own[a], own[b]), np.maximum(own[a], own[b])
+        pair = K.mix64(lo * np.uint64(0x9E3779B97F4A7C15) + hi)
+        if need(size[i], math.ceil(t * size[i]), t) <= 1:  # one common element may do
+            pair = np.concatenate([pair, K.mix64(own ^ np.uint64(0x2545F4914F6CDD1D))])
+        k = len(pair)
+        yield [pair, np.full(k, classes[i]), np.full(k, -1, np.int32), np.full(k, size[i], np.int32)]
+
+
+ENTRY = "key bigint, class_id bigint, place int, size int"
+_ENTRY_NAMES = ["key", "class_id", "place", "size"]
+
+
 def prefix_entries(texts: DataFrame, order, light: int, t: float = SIMILARITY, words: int = WORDS) -> DataFrame:
     """(key, class_id, place, size) of every class's prefix, rare elements first.
 
@@ -104,43 +149,43 @@ def prefix_entries(texts: DataFrame, order, light: int, t: float = SIMILARITY, w
     """
 
     def per_task(batches):
-        seen: set[int] = set()
+        for ranked in _ranked_sets(batches, order, words):
+            for rows in _prefixes(*ranked, light, t):
+                yield _emit(rows, _ENTRY_NAMES)
+
+    return texts.select("text").mapInArrow(per_task, ENTRY)
+
+
+def ranked_sets(texts: DataFrame, order, words: int = WORDS) -> DataFrame:
+    """(class_id, keys): the whole set of every class, rare elements first; a class may come once per task."""
+
+    def per_task(batches):
+        for classes, _, h, _, size in _ranked_sets(batches, order, words):
+            have = np.flatnonzero(size)
+            offsets = np.concatenate([[0], np.cumsum(size[have])]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(classes[have]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(h.view(np.int64)))], ["class_id", "keys"])
+
+    return texts.select("text").mapInArrow(per_task, "class_id bigint, keys array<bigint>")
+
+
+def entries_of_sets(sets: DataFrame, light: int, t: float = SIMILARITY, among: Summary | None = None) -> DataFrame:
+    """As `prefix_entries`, from stored sets; with `among`, a broadcast summary of keys, only entries that may be among these."""
+
+    def per_task(batches):
         for batch in batches:
-            for _, code, w in batches_of_text(batch):
-                classes = class_ids(code, w)
-                h, at = K.shingles(w, words)
-                doc = w.doc[at]
-                fresh = np.zeros(code.size, dtype=bool)
-                for i, c in enumerate(classes.tolist()):
-                    if c not in seen:
-                        seen.add(c)
-                        fresh[i] = True
-                keep = fresh[doc]
-                doc, h = K.distinct_per_doc(doc[keep], h[keep])
-                if not len(h):
-                    continue
-                size = np.bincount(doc, minlength=code.size)
-                rank = order.value.estimate(h)
-                o = np.lexsort((h, rank, doc))
-                doc, h = doc[o], h[o]
-                place = np.arange(len(h)) - (np.cumsum(size) - size)[doc]
-                n = size[doc]
-                # The least overlap a set of n can need is with a set of t * n elements.
-                longest = n - np.ceil(t * n - 1e-9) + MEET
-                m = place < longest
-                doc, h, place, n = doc[m], h[m], place[m], n[m]
-                yield _emit([h, classes[doc], place.astype(np.int32), n.astype(np.int32)], ["key", "class_id", "place", "size"])
-                for i in np.unique(doc[n <= light]):
-                    own = h[doc == i]
-                    a, b = np.triu_indices(len(own), 1)
-                    lo, hi = np.minimum(own[a], own[b]), np.maximum(own[a], own[b])
-                    pair = K.mix64(lo * np.uint64(0x9E3779B97F4A7C15) + hi)
-                    if need(size[i], math.ceil(t * size[i]), t) <= 1:  # one common element may do
-                        pair = np.concatenate([pair, own])
-                    k = len(pair)
-                    yield _emit([pair, np.full(k, classes[i]), np.full(k, -1, np.int32), np.full(k, size[i], np.int32)], ["key", "class_id", "place", "size"])
-
-    return texts.select("text").mapInArrow(per_task, "key bigint, class_id bigint, place int, size int")
+            keys = batch.column("keys")
+            offsets = keys.offsets.to_numpy().astype(np.int64)
+            size = np.diff(offsets)
+            h = keys.flatten().to_numpy().view(np.uint64)
+            doc = np.repeat(np.arange(len(size)), size)
+            place = np.arange(len(h)) - (offsets[:-1] - offsets[0])[doc]
+            for rows in _prefixes(batch.column("class_id").to_numpy(), doc, h, place, size, light, t):
+                if among is not None:
+                    m = among.value.estimate(rows[0]) > 0
+                    rows = [x[m] for x in rows]
+                yield _emit(rows, _ENTRY_NAMES)
+
+    return sets.select("class_id", "keys").mapInArrow(per_task, ENTRY)
 
 
 def light_boundary(order: Summary, t: float = SIMILARITY, most: int = 64) -> int:
@@ -156,25 +201,26 @@ def light_boundary(order: Summary, t: float = SIMILARITY, most: int = 64) -> int
     return max(0, int((p - MEET) / (1 - t))) if t < 1 else p
 
 
-def candidate_pairs(entries: DataFrame, light: int, t: float = SIMILARITY, condition=None) -> DataFrame:
-    """Pairs of classes (a, b), smaller set first, that the light and heavy routes propose.
+def candidate_pairs(entries: DataFrame, light: int, t: float = SIMILARITY, other: DataFrame | None = None) -> DataFrame:
+    """Pairs of classes (a, b) that the light and heavy routes propose; of `entries` and `other`, or within `entries`.
 
-    Hot keys are split by AQE's skew join, and nothing is gathered per key.
-    condition: an optional further condition on columns of both sides (x_ and y_).
+    All conditions name both sides, so that none is pushed to one side only and a
+    self-join shuffles the entries once.  Hot keys are split by AQE's skew join;
+    nothing is gathered per key.
     """
     cols = [c for c in entries.columns if c != "key"]
     x = entries.select("key", *[F.col(c).alias(f"x_{c}") for c in cols])
-    y = entries.select("key", *[F.col(c).alias(f"y_{c}") for c in cols])
+    y = (entries if other is None else other).select("key", *[F.col(c).alias(f"y_{c}") for c in cols])
     n, m = F.col("x_size"), F.col("y_size")
     overlap = F.ceil(F.lit(t / (1 + t)) * (n + m) - F.lit(1e-9))
     meet = F.least(F.lit(MEET), overlap)
-    ordered = (n < m) | ((n == m) & (F.col("x_class_id") < F.col("y_class_id")))
-    joined = x.join(y, "key").where(ordered & (n >= F.ceil(F.lit(t) * m - F.lit(1e-9))))
-    if condition is not None:
-        joined = joined.where(condition)
-    in_lists = (m > light) & (F.col("x_place") >= 0) & (F.col("y_place") >= 0) & (F.col("x_place") < n - overlap + meet) & (F.col("y_place") < m - overlap + meet)
-    in_pairs = (m <= light) & (F.col("x_place") < 0) & (F.col("y_place") < 0)
-    met = joined.where(in_lists | in_pairs).select(F.col("x_class_id").alias("a"), F.col("y_class_id").alias("b"), F.when(in_pairs, F.lit(MEET)).otherwise(F.lit(1)).alias("met"), meet.alias("meet"))
+    close = F.least(n, m) >= F.ceil(F.lit(t) * F.greatest(n, m) - F.lit(1e-9))
+    # A pair of light sets meets on enumerated pairs only, whose place is -1.
+    route = (F.col("x_place") < 0) | (F.greatest(n, m) > light)
+    joined = x.join(y, "key").where(close & route & (F.col("x_place") < n - overlap + meet) & (F.col("y_place") < m - overlap + meet))
+    if other is None:
+        joined = joined.where((n < m) | ((n == m) & (F.col("x_class_id") < F.col("y_class_id"))))
+    met = joined.select(F.col("x_class_id").alias("a"), F.col("y_class_id").alias("b"), F.when(F.col("x_place") < 0, F.lit(MEET)).otherwise(F.lit(1)).alias("met"), meet.alias("meet"))
     return met.groupBy("a", "b").agg(F.sum("met").alias("met"), F.max("meet").alias("meet")).where("met >= meet").select("a", "b")
 
 

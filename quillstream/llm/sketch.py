@@ -31,12 +31,12 @@ def cells_for(items: int, per_item: float = 1.0, most: int = MOST_CELLS) -> int:
 
 
 def slots(items: np.ndarray, cells: int, depth: int) -> list[np.ndarray]:
-    """The cell of each item in each of `depth` rows; a row has cells // depth cells."""
+    """The cell of each item in each of `depth` rows of cells // depth cells, a power of two."""
     width = cells // depth
     out = []
     for r in range(depth):
         h = mix64(items ^ np.uint64(0x632BE59BD9B4E019 * (r + 1) & 0xFFFFFFFFFFFFFFFF))
-        out.append((h % np.uint64(width)).astype(np.int64) + r * width)
+        out.append((h & np.uint64(width - 1)).astype(np.int64) + r * width)
     return out
 
 
