@@ -24,8 +24,18 @@ def _cleaned(url: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(url, r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"[\t\r\n]", "")
 
 
-def _part(url: Column, i: int) -> Column:
-    return F.regexp_extract(url, _SHAPE, i)
+def let(value: Column, body) -> Column:
+    """body(value), with value evaluated once however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _parts(url: Column, body) -> Column:
+    """body(scheme, raw netloc, path, query) of a URL; empty parts where the URL has no such shape."""
+
+    def of(u: Column) -> Column:
+        return F.struct(F.lower(F.regexp_extract(u, _SHAPE, 1)).alias("s"), F.regexp_extract(u, _SHAPE, 2).alias("n"), F.regexp_extract(u, _SHAPE, 3).alias("p"), F.regexp_extract(u, _SHAPE, 4).alias("q"))
+
+    return let(_cleaned(url), lambda u: let(of(u), lambda x: body(x["s"], x["n"], x["p"], x["q"])))
 
 
 def is_tracking_param(name: Column) -> Column:
@@ -53,21 +63,24 @@ def strip_tracking_params(query: Column) -> Column:
         ),
     )
     kept = F.array_sort(F.filter(pairs, lambda p: ~is_tracking_param(p["name"])))
-    return F.array_join(F.transform(kept, lambda p: F.concat(_encode(p["name"]), F.lit("="), _encode(p["value"]))), "&")
+    return F.when(query == "", "").otherwise(F.array_join(F.transform(kept, lambda p: F.concat(_encode(p["name"]), F.lit("="), _encode(p["value"]))), "&"))
 
 
-def _netloc(url: Column) -> Column:
-    """Credentials, lower-case host and any port that isn't the scheme's default; null for no or an invalid host."""
-    scheme, raw = F.lower(_part(url, 1)), _part(url, 2)
-    user, host, port = (F.regexp_extract(raw, _HOST, i) for i in (1, 2, 3))
-    host = F.lower(host)
-    name, word = F.substring_index(user, ":", 1), F.regexp_replace(user, r"(?s)^[^:]*:?", "")
-    credentials = F.when(name == "", "").otherwise(F.concat(name, F.when(word == "", "").otherwise(F.concat(F.lit(":"), word)), F.lit("@")))
-    number = F.when(port == "", F.lit(None)).otherwise(port.try_cast("int"))
-    default = F.when(scheme == "http", DEFAULT_PORTS["http"]).otherwise(DEFAULT_PORTS["https"])
-    shown = F.when(number.isNull() | (number == default), "").otherwise(F.concat(F.lit(":"), number.cast("string")))
-    valid = raw.rlike(_HOST) & (host != "") & (host != "[]") & ((port == "") | number.between(0, 65535))
-    return F.when(valid, F.concat(credentials, host, shown))
+def _netloc(scheme: Column, raw: Column) -> Column:
+    """Credentials, lower-case host and any port that isn't the scheme's default; null if not http(s), or for no or an invalid host."""
+
+    def shown(x: Column) -> Column:
+        user, host, port = x["u"], x["h"], x["p"]
+        name, word = F.substring_index(user, ":", 1), F.regexp_replace(user, r"(?s)^[^:]*:?", "")
+        credentials = F.when(name == "", "").otherwise(F.concat(name, F.when(word == "", "").otherwise(F.concat(F.lit(":"), word)), F.lit("@")))
+        number = F.when(port == "", F.lit(None)).otherwise(port.try_cast("int"))
+        default = F.when(scheme == "http", DEFAULT_PORTS["http"]).otherwise(DEFAULT_PORTS["https"])
+        end = F.when(number.isNull() | (number == default), "").otherwise(F.concat(F.lit(":"), number.cast("string")))
+        valid = scheme.isin("http", "https") & (host != "") & (host != "[]") & ((port == "") | F.coalesce(number.between(0, 65535), F.lit(False)))
+        return F.when(valid, F.concat(F.when(user == "", "").otherwise(credentials), host, end))
+
+    split = F.struct(F.regexp_extract(raw, _HOST, 1).alias("u"), F.lower(F.regexp_extract(raw, _HOST, 2)).alias("h"), F.regexp_extract(raw, _HOST, 3).alias("p"))
+    return let(split, shown)
 
 
 def _assemble(scheme: Column, netloc: Column, path: Column, query: Column) -> Column:
@@ -76,26 +89,26 @@ def _assemble(scheme: Column, netloc: Column, path: Column, query: Column) -> Co
 
 def is_public_url(url: Column) -> Column:
     """Whether url is absolute, http or https, and names a host."""
-    u = _cleaned(url)
-    return F.coalesce(F.lower(_part(u, 1)).isin("http", "https") & _netloc(u).isNotNull(), F.lit(False))
+    return F.coalesce(_parts(url, lambda s, n, p, q: _netloc(s, n).isNotNull()), F.lit(False))
 
 
 def canonicalize_url(url: Column) -> Column:
     """The publishable form: no fragment, tracking, default port or upper case in scheme and host; null if not public."""
-    u = _cleaned(url)
-    return F.when(is_public_url(url), _assemble(F.lower(_part(u, 1)), _netloc(u), _part(u, 3), strip_tracking_params(_part(u, 4))))
+    return _parts(url, lambda s, n, p, q: _assemble(s, _netloc(s, n), p, strip_tracking_params(q)))
 
 
 def dedupe_key(url: Column) -> Column:
     """For comparison only: the canonical form without `www.`, index file and trailing slashes; null if not public."""
-    u = _cleaned(url)
-    host = F.regexp_replace(_netloc(u), r"^www\.", "")
-    path = F.regexp_replace(_part(u, 3), r"(?i)(^|/)(" + "|".join(x.replace(".", r"\.") for x in INDEX_FILES) + r")$", "$1")
-    path = F.regexp_replace(path, "/+$", "")
-    return F.when(is_public_url(url), _assemble(F.lower(_part(u, 1)), host, path, strip_tracking_params(_part(u, 4))))
+    index = r"(?i)(^|/)(" + "|".join(x.replace(".", r"\.") for x in INDEX_FILES) + r")$"
+
+    def key(s: Column, n: Column, p: Column, q: Column) -> Column:
+        path = F.regexp_replace(F.regexp_replace(p, index, "$1"), "/+$", "")
+        return _assemble(s, F.regexp_replace(_netloc(s, n), r"^www\.", ""), path, strip_tracking_params(q))
+
+    return _parts(url, key)
 
 
 def same_site(first: Column, second: Column) -> Column:
     """Whether both URLs are public and have the same host, port and credentials, `www.` aside."""
-    a, b = (F.when(is_public_url(x), F.regexp_replace(_netloc(_cleaned(x)), r"^www\.", "")) for x in (first, second))
+    a, b = (_parts(x, lambda s, n, p, q: F.regexp_replace(_netloc(s, n), r"^www\.", "")) for x in (first, second))
     return F.coalesce(a == b, F.lit(False))
