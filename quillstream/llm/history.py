@@ -154,7 +154,8 @@ class History:
         pairs = materialize(old.unionByName(new), "p2-candidates")
         # Only the sets of classes in candidates are shuffled for the exact overlap.
         ends = materialize(pairs.where("old").select(F.col("a").alias("class_id")).distinct(), "p2-old-ends")
-        mine = sets.dropDuplicates(["class_id"])
+        fresh_ends = materialize(pairs.select(F.col("b").alias("class_id")).union(pairs.where("NOT old").select("a")).distinct(), "p2-new-ends")
+        mine = sets.join(broadcast_if_small(fresh_ends, 16), "class_id", "left_semi").dropDuplicates(["class_id"])
         theirs = stored.join(broadcast_if_small(ends, 16), "class_id", "left_semi").dropDuplicates(["class_id"])
         left = mine.withColumn("old", F.lit(False)).unionByName(theirs.withColumn("old", F.lit(True))).select(F.col("class_id").alias("a"), "old", F.col("keys").alias("ka"))
         right = mine.select(F.col("class_id").alias("b"), F.col("keys").alias("kb"))

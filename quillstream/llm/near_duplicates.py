@@ -38,7 +38,7 @@ from quillstream.runtime import broadcast_if_small, materialize
 WORDS = 3
 SIMILARITY = 0.5
 #: Common elements that a pair with a heavy set must have in its prefixes.
-MEET = 3
+MEET = 8
 #: Texts handled at once within a task.
 SLICE = 512
 
@@ -172,7 +172,7 @@ def entries_of_sets(sets: DataFrame, light: int, t: float = SIMILARITY, among: S
     """As `prefix_entries`, from stored sets; with `among`, a broadcast summary of keys, only entries that may be among these."""
 
     def per_task(batches):
-        for batch in batches:
+        for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
             keys = batch.column("keys")
             offsets = keys.offsets.to_numpy().astype(np.int64)
             size = np.diff(offsets)
@@ -225,7 +225,7 @@ def candidate_pairs(entries: DataFrame, light: int, t: float = SIMILARITY, other
 
 
 def shingle_sets(texts: DataFrame, wanted: DataFrame, words: int = WORDS) -> DataFrame:
-    """(class_id, keys): the sorted set of every class in `wanted`, once."""
+    """(class_id, keys): the set of each text in `wanted`."""
 
     def per_task(batches):
         for batch in batches:
@@ -236,16 +236,17 @@ def shingle_sets(texts: DataFrame, wanted: DataFrame, words: int = WORDS) -> Dat
                 keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(h.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(class_ids(code, w)), keys], ["class_id", "keys"])
 
-    return texts.join(wanted, "id", "left_semi").select("text").mapInArrow(per_task, "class_id bigint, keys array<bigint>").dropDuplicates(["class_id"])
+    return texts.join(wanted, "id", "left_semi").select("text").mapInArrow(per_task, "class_id bigint, keys array<bigint>")
 
 
 def verify_pairs(pairs: DataFrame, sets: DataFrame, t: float = SIMILARITY) -> DataFrame:
     """(a, b, common, similarity) of the pairs whose sets have at least the similarity t."""
-    left = sets.select(F.col("class_id").alias("a"), F.col("keys").alias("ka"))
     right = sets.select(F.col("class_id").alias("b"), F.col("keys").alias("kb"))
+    left = sets.select(F.col("class_id").alias("a"), F.col("keys").alias("ka"))
     common = F.size(F.array_intersect("ka", "kb")).cast("long")
-    scored = pairs.join(left, "a").join(right, "b").select("a", "b", common.alias("common"), (F.size("ka") + F.size("kb")).alias("total"))
-    return scored.where(F.col("common") * (1 + t) >= F.col("total") * t - 1e-9).select("a", "b", "common", (F.col("common") / (F.col("total") - F.col("common"))).alias("similarity"))
+    scored = pairs.join(right, "b").join(left, "a").select("a", "b", common.alias("common"), (F.size("ka") + F.size("kb")).alias("total"))
+    alike = scored.where(F.col("common") * (1 + t) >= F.col("total") * t - 1e-9)
+    return alike.select("a", "b", "common", (F.col("common") / (F.col("total") - F.col("common"))).alias("similarity")).distinct()
 
 
 def text_frame(articles: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from quillstream.llm import history as p2
 from quillstream.llm import leaks as p7
 from quillstream.llm import mixing as p8
 from quillstream.llm import near_duplicates as p4
+from quillstream.llm import page_content as p3
 from quillstream.llm import repeated_lines as p1
 from quillstream.llm import shared_spans as p9
 from quillstream.llm import top_per_group as p6
@@ -32,6 +33,10 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return p2.held_records(_table(spark, sf, "articles"), _table(spark, sf, "incoming_articles")).where("held").select("record_id")
 
 
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p3.furniture_lines(_table(spark, sf, "articles"))
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return p4.alike_pairs(_table(spark, sf, "articles"))
 
@@ -56,14 +61,14 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return p7.leaked_items(_table(spark, sf, "documents"), _table(spark, sf, "eval_items")).select("doc_id", "item_id")
 
 
-def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
-    return p8.mixing_report(_table(spark, sf, "documents"), _table(spark, sf, "mix_targets"))
-
-
 def p8_copies(spark: SparkSession, sf: str) -> DataFrame:
     return p8.mixing_copies(_table(spark, sf, "documents"), _table(spark, sf, "mix_targets"))
 
 
+def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return p8.mixing_report(_table(spark, sf, "documents"), _table(spark, sf, "mix_targets"))
+
+
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return p9.sharing_pairs(_table(spark, sf, "documents"))
 

@@ -9,6 +9,7 @@ second pass has to remove depends on the load of the cells.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -40,6 +41,18 @@ def slots(items: np.ndarray, cells: int, depth: int) -> list[np.ndarray]:
     return out
 
 
+def _pack(part: np.ndarray) -> bytes:
+    """Counts of a chunk, capped, as low bytes and then high bytes, which compress well apart."""
+    b = np.minimum(part, FULL).astype("<u2").view(np.uint8)
+    return zlib.compress(b[0::2].tobytes() + b[1::2].tobytes(), 1)
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    b = np.frombuffer(zlib.decompress(data), dtype=np.uint8)
+    half = len(b) // 2
+    return b[:half].astype(np.uint32) + (b[half:].astype(np.uint32) << 8)
+
+
 class Summary:
     """Merged cells with point queries."""
 
@@ -62,25 +75,21 @@ def summarize(df: DataFrame, items: Callable[[pa.RecordBatch], np.ndarray], cell
         for batch in batches:
             found = items(batch)
             for at in slots(found, cells, depth):
-                if len(at) * 4 > cells:
-                    table += np.bincount(at, minlength=cells).astype(np.uint32)
-                else:
-                    np.add.at(table, at, np.uint32(1))
-        out = np.minimum(table, FULL).astype("<u2")
+                np.add.at(table, at, np.uint32(1))
         for i in range(0, cells, CHUNK):
-            part = out[i : i + CHUNK]
+            part = table[i : i + CHUNK]
             if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([i // CHUNK], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["chunk", "cells"])
+                yield pa.RecordBatch.from_arrays([pa.array([i // CHUNK], pa.int32()), pa.array([_pack(part)], pa.binary())], ["chunk", "cells"])
 
     def merge(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CHUNK, dtype=np.uint32)
         for batch in batches:
             for value in batch.column("cells"):
-                total += np.frombuffer(value.as_buffer(), dtype="<u2")
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([np.minimum(total, FULL).astype("<u2").tobytes()], pa.binary())], ["chunk", "cells"])
+                total += _unpack(value.as_py())
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([_pack(total)], pa.binary())], ["chunk", "cells"])
 
     schema = "chunk int, cells binary"
     table = np.zeros(cells, dtype=np.uint16)
     for row in df.mapInArrow(per_task, schema).groupBy("chunk").applyInArrow(merge, schema).toLocalIterator():
-        table[row["chunk"] * CHUNK : (row["chunk"] + 1) * CHUNK] = np.frombuffer(row["cells"], dtype="<u2")
+        table[row["chunk"] * CHUNK : (row["chunk"] + 1) * CHUNK] = _unpack(bytes(row["cells"]))
     return Summary(table, depth)
