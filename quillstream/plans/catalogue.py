@@ -1,11 +1,411 @@
-"""Catalogue of the core queries."""
+"""Catalogue of the core queries: each name with its plan and, where SQL states it, the SQL to compare with."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from datetime import datetime, timezone
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from quillstream.functions import dates, text, urls
+from quillstream.operators import dedupe, fidelity, pool, scoring, seating, similarity
+from quillstream.operators.scoring import rank_order
+from quillstream.plans import tables as T
+from quillstream.plans.tables import SQL_ARTICLES, SQL_ASSESSMENTS, SQL_RANKED, SQL_SCORED
 
-def oracle_sql() -> dict:
-    return {}
+#: Score at which a candidate may be printed, line-up rules, and the event-time window of the window queries.
+THRESHOLD = 62
+POLICY = seating.Policy(max_items=10, min_items=6, min_score=THRESHOLD, max_per_source=2, section_limits={"youtube_platform": 4, "youtube_monetization": 4, "kids_content": 4, "ai_video": 3, "ai_models": 3, "ai_business": 3})
+OWN_BEAT = ("youtube_platform", "youtube_monetization", "kids_content")
+START, END = datetime(2026, 6, 1, tzinfo=timezone.utc), datetime(2026, 6, 8, tzinfo=timezone.utc)
+_SQL_WINDOW = "published_at >= TIMESTAMPTZ '2026-06-01 00:00:00+00' AND published_at < TIMESTAMPTZ '2026-06-08 00:00:00+00'"
+
+_queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_sql: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a plan under its name, with its SQL if there is one."""
+
+    def add(f):
+        _queries[f.__name__] = f
+        if sql is not None:
+            _sql[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _us(c: str) -> F.Column:
+    return F.unix_micros(F.col(c).cast("timestamp")).alias(c)
+
+
+# -- scores ------------------------------------------------------------------------
+
+
+def _scored(spark: SparkSession, sf: str) -> DataFrame:
+    a = T.assessments(spark, sf).drop("content_hash")
+    joined = scoring.stored_assessments(a, T.articles(spark, sf), T.table(spark, sf, "sources"))
+    return joined.withColumn("final_score", scoring.score())
+
+
+_PRE = f"WITH {SQL_ARTICLES}, {SQL_ASSESSMENTS}, {SQL_SCORED} "
+
+
+@query(_PRE + "SELECT cache_key, article_id, source_id, prompt_version, category, priority FROM scored")
+def stored_assessments(spark, sf):
+    return _scored(spark, sf).select("cache_key", "article_id", "source_id", "prompt_version", "category", "priority")
+
+
+@query(_PRE + "SELECT cache_key, article_id, final_score, epoch_us(published_at) AS published_at, row_number() OVER (PARTITION BY prompt_version ORDER BY final_score DESC NULLS LAST, published_at ASC NULLS LAST, article_id, cache_key) AS place FROM scored WHERE prompt_version = 'v3'")
+def rank_all(spark, sf):
+    rows = _scored(spark, sf).where("prompt_version = 'v3'")
+    return pool.positions(rows, [*rank_order(), F.col("cache_key")], "place").select("cache_key", "article_id", "final_score", _us("published_at"), "place")
+
+
+@query(_PRE + "SELECT cache_key, 6*topic_relevance AS topic_relevance, 5*business_impact AS business_impact, 4*novelty AS novelty, 3*actionability AS actionability, priority, final_score AS total FROM scored")
+def score_breakdown(spark, sf):
+    return _scored(spark, sf).select("cache_key", scoring.score_components().alias("c"), F.col("final_score").alias("total")).select("cache_key", "c.*", "total")
+
+
+_DIST = "count(final_score) AS n, min(final_score) AS lowest, CAST(quantile_disc(final_score, 0.5) AS INT) AS median, CAST(quantile_disc(final_score, 0.9) AS INT) AS p90, max(final_score) AS highest, count(*) FILTER (final_score >= 62) AS passing, round(count(*) FILTER (final_score >= 62) / count(final_score), 6) AS pass_rate"
+
+
+@query(_PRE + f"SELECT prompt_version, {_DIST} FROM scored GROUP BY prompt_version")
+def score_distribution(spark, sf):
+    return scoring.distribution(_scored(spark, sf), THRESHOLD, ["prompt_version"])
+
+
+@query(_PRE + f"SELECT category, {_DIST}, round(avg(CASE WHEN topic_relevance >= 3 THEN 1.0 ELSE 0.0 END), 6) AS relevant FROM scored GROUP BY category")
+def score_by_category(spark, sf):
+    rows = _scored(spark, sf)
+    relevant = rows.groupBy("category").agg(F.round(F.avg(F.when(F.col("topic_relevance") >= 3, 1.0).otherwise(0.0)), 6).alias("relevant"))
+    dist = scoring.distribution(rows, THRESHOLD, ["category"])
+    return dist.join(relevant, dist["category"].eqNullSafe(relevant["category"])).drop(relevant["category"])
+
+
+@query(_PRE + "SELECT b.band, b.band * 10 AS low, count(s.final_score) AS n FROM range(10) b(band) LEFT JOIN scored s ON least(s.final_score // 10, 9) = b.band GROUP BY b.band")
+def score_histogram(spark, sf):
+    return scoring.histogram(_scored(spark, sf), 10)
+
+
+@query(_PRE + "SELECT prompt_version, count(*) AS assessed, count(*) FILTER (final_score >= 62) AS clearing, CASE WHEN count(*) FILTER (final_score >= 62) >= 4 THEN 'ok' ELSE 'starved' END AS verdict FROM scored WHERE category IN ('youtube_platform','youtube_monetization','kids_content') GROUP BY prompt_version")
+def floor_headroom(spark, sf):
+    rows = _scored(spark, sf).where(F.col("category").isin(*OWN_BEAT))
+    clearing = F.count_if(F.col("final_score") >= THRESHOLD)
+    return rows.groupBy("prompt_version").agg(F.count("*").alias("assessed"), clearing.alias("clearing"), F.when(clearing >= 4, "ok").otherwise("starved").alias("verdict"))
+
+
+@query(_PRE + ", k AS (SELECT *, CASE WHEN prompt_version IS NOT NULL AND length(regexp_replace(lower(strip_accents(event_subject)), '[^\\p{L}\\p{N}]', '', 'g')) > 0 AND length(regexp_replace(lower(strip_accents(event_object)), '[^\\p{L}\\p{N}]', '', 'g')) > 0 THEN trim(regexp_replace(trim(regexp_replace(lower(strip_accents(event_subject)), '[^\\p{L}\\p{N}_]+', ' ', 'g')), '^((a|an|the)( +|$))+', '')) || '|' || trim(regexp_replace(trim(regexp_replace(lower(strip_accents(event_object)), '[^\\p{L}\\p{N}_]+', ' ', 'g')), '^((a|an|the)( +|$))+', '')) END AS event_key FROM scored) SELECT cache_key, event_key, event_key IS NULL OR row_number() OVER (PARTITION BY event_key ORDER BY final_score DESC NULLS LAST, published_at ASC NULLS LAST, article_id, cache_key) = 1 AS kept FROM k")
+def event_collapse(spark, sf):
+    rows = _scored(spark, sf).withColumn("event_key", text.event_key(F.col("event_subject"), F.col("event_object")))
+    return dedupe.best_per_event(rows, "event_key", [*rank_order(), F.col("cache_key")]).select("cache_key", "event_key", "kept")
+
+
+# -- time --------------------------------------------------------------------------
+
+
+@query(f"WITH {SQL_ARTICLES} SELECT article_id, epoch_us(published_at) AS published_at FROM art WHERE {_SQL_WINDOW}")
+def window_filter(spark, sf):
+    return T.articles(spark, sf).where(dates.in_window(F.col("published_at"), START, END)).select("article_id", _us("published_at"))
+
+
+@query(f"WITH {SQL_ARTICLES} SELECT source_id, count(*) FILTER ({_SQL_WINDOW}) AS inside, count(*) FILTER (NOT coalesce({_SQL_WINDOW}, FALSE)) AS outside FROM art GROUP BY source_id")
+def window_split_counts(spark, sf):
+    inside = dates.in_window(F.col("published_at"), START, END)
+    return T.articles(spark, sf).groupBy("source_id").agg(F.count_if(inside).alias("inside"), F.count_if(~inside).alias("outside"))
+
+
+@query(f"WITH {SQL_ARTICLES} SELECT article_id, strftime((published_at AT TIME ZONE 'UTC') - INTERVAL 1 MICROSECOND, '%G-W%V') AS issue FROM art")
+def issue_labels(spark, sf):
+    return T.articles(spark, sf).select("article_id", dates.issue_label(F.col("published_at")).alias("issue"))
+
+
+@query("SELECT strftime(ts - INTERVAL 1 MICROSECOND, '%G-W%V') AS issue, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def weekly_events(spark, sf):
+    e = T.table(spark, sf, "events")
+    return e.groupBy(dates.issue_label(F.col("ts").cast("timestamp")).alias("issue"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query("WITH p AS (SELECT DISTINCT article_id, json_extract_string(payload, '$.published_at') AS iso FROM articles WHERE json_valid(payload) AND article_id IS NOT NULL) SELECT article_id, iso, epoch_us(CAST(iso AS TIMESTAMPTZ)) AS at FROM p")
+def payload_dates(spark, sf):
+    parsed = F.from_json("payload", "published_at string, _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    rows = T.table(spark, sf, "articles").select("article_id", parsed.alias("p")).where("p IS NOT NULL AND p._bad IS NULL AND article_id IS NOT NULL")
+    return rows.select("article_id", F.col("p.published_at").alias("iso")).distinct().select("article_id", "iso", F.unix_micros(dates.parse_datetime(F.col("iso"))).alias("at"))
+
+
+# -- pools -------------------------------------------------------------------------
+
+_POOL = f"WITH {SQL_ARTICLES}, d AS (SELECT a.article_id, a.source_id, coalesce(s.priority, 0) AS priority, row_number() OVER (PARTITION BY a.source_id ORDER BY a.published_at DESC NULLS LAST, a.article_id) AS depth FROM art a LEFT JOIN sources s ON a.source_id = s.id), p AS (SELECT *, row_number() OVER (ORDER BY depth, priority DESC, source_id, article_id) AS position FROM d) "
+
+
+def _robin(spark, sf):
+    priorities = T.table(spark, sf, "sources").select(F.col("id").alias("source_id"), "priority")
+    rows = pool.round_robin(T.articles(spark, sf), F.broadcast(priorities)).select("article_id", "source_id", "priority", "depth")
+    return pool.positions(rows, pool.round_robin_order())
+
+
+@query(_POOL + "SELECT article_id, depth, position FROM p")
+def round_robin_pool(spark, sf):
+    return _robin(spark, sf).select("article_id", "depth", "position")
+
+
+@query(_POOL + "SELECT (position - 1) // 20 AS batch, count(*) AS n, count(DISTINCT source_id) AS sources FROM p GROUP BY 1")
+def pool_batches(spark, sf):
+    return _robin(spark, sf).groupBy(pool.batch_number(F.col("position"), 20).alias("batch")).agg(F.count("*").alias("n"), F.countDistinct("source_id").alias("sources"))
+
+
+@query(f"WITH {SQL_ARTICLES}, f AS (SELECT DISTINCT article_id, min(title) AS title FROM incoming_articles WHERE article_id IS NOT NULL GROUP BY article_id) SELECT article_id, title, 'fresh' AS origin FROM f UNION ALL SELECT article_id, title, 'stored' FROM art WHERE article_id NOT IN (SELECT article_id FROM f)")
+def recall_merge(spark, sf):
+    fresh = T.table(spark, sf, "incoming_articles").where("article_id IS NOT NULL").groupBy("article_id").agg(F.min("title").alias("title")).withColumn("origin", F.lit("fresh"))
+    return pool.merge_stored(fresh, T.articles(spark, sf).select("article_id", "title", F.lit("stored").alias("origin")))
+
+
+_ITEMS = f"{SQL_ARTICLES}, {SQL_RANKED}, it AS (SELECT r.edition_id, r.article_id, a.content_hash, split_part(r.edition_id, '-', 1) || '-' || split_part(r.edition_id, '-', 2) AS issue, r.published_at, r.final_score, row_number() OVER (PARTITION BY r.edition_id ORDER BY r.final_score DESC NULLS LAST, r.published_at ASC NULLS LAST, r.article_id) AS position FROM rk r LEFT JOIN art a ON r.article_id = a.article_id)"
+
+
+def _issue(c: str = "edition_id") -> F.Column:
+    return F.concat_ws("-", F.split_part(F.col(c), F.lit("-"), F.lit(1)), F.split_part(F.col(c), F.lit("-"), F.lit(2)))
+
+
+def _items(spark, sf):
+    """Candidates of editions as printed items: position by rank; an edition counts as generated at its issue."""
+    place = F.row_number().over(Window.partitionBy("edition_id").orderBy(*rank_order()))
+    rows = T.ranked(spark, sf).withColumn("position", place)
+    hashes = T.articles(spark, sf).select("article_id", "content_hash")
+    return rows.join(hashes, "article_id", "left").select("edition_id", "article_id", "content_hash", _issue().alias("issue"), _issue().alias("generated_at"), "position")
+
+
+@query(f"WITH {_ITEMS} SELECT article_id, min_by(issue, issue || ' ' || edition_id) AS issue FROM it GROUP BY article_id")
+def published_keys(spark, sf):
+    return pool.published_keys(_items(spark, sf))[0]
+
+
+@query(f"WITH {_ITEMS}, i AS (SELECT article_id, min(issue) AS issue FROM it GROUP BY 1), h AS (SELECT content_hash, min(issue) AS issue FROM it WHERE content_hash IS NOT NULL GROUP BY 1) SELECT n.record_id, coalesce(i.issue, h.issue) AS printed_in FROM incoming_articles n LEFT JOIN i USING (article_id) LEFT JOIN h USING (content_hash)")
+def suppressed(spark, sf):
+    by_id, by_hash = pool.published_keys(_items(spark, sf))
+    return pool.suppress_published(T.table(spark, sf, "incoming_articles"), by_id, by_hash).select("record_id", "printed_in")
+
+
+@query(f"WITH {SQL_ARTICLES}, {SQL_ASSESSMENTS}, k AS (SELECT DISTINCT content_hash FROM ass WHERE model = 'judge-large' AND prompt_version = 'v3' AND schema_version = '2') SELECT a.article_id, k.content_hash IS NOT NULL AS hit FROM art a LEFT JOIN k ON a.content_hash = k.content_hash")
+def cache_split(spark, sf):
+    return pool.cache_split(T.articles(spark, sf), T.assessments(spark, sf), "judge-large", "v3", "2").select("article_id", "hit")
+
+
+_ISSUES = f"WITH {_ITEMS}, g AS (SELECT issue, min(epoch_us(published_at)) AS started FROM it GROUP BY issue) "
+
+
+def _issues(spark, sf):
+    return T.ranked(spark, sf).groupBy(_issue().alias("issue")).agg(F.min(F.unix_micros(F.col("published_at").cast("timestamp"))).alias("started"))
+
+
+@query(_ISSUES + "SELECT * FROM g")
+def generated_issues(spark, sf):
+    return _issues(spark, sf)
+
+
+@query(_ISSUES + "SELECT issue, started, lag(issue) OVER (ORDER BY started NULLS FIRST, issue) AS previous, lead(issue) OVER (ORDER BY started NULLS FIRST, issue) AS next FROM g")
+def issue_neighbours(spark, sf):
+    return pool.issue_neighbours(_issues(spark, sf))
+
+
+@query(_ISSUES + "SELECT max_by(issue, (started, issue)) AS issue FROM g")
+def latest_issue(spark, sf):
+    return _issues(spark, sf).agg(F.max_by("issue", F.struct("started", "issue")).alias("issue"))
+
+
+# -- texts and URLs -------------------------------------------------------------------
+
+_TRACK = "lower(name) IN (" + ",".join(f"'{x}'" for x in urls.TRACKING_PARAMS) + ") OR regexp_matches(lower(name), '^(" + "|".join(urls.TRACKING_PREFIXES) + ")')"
+_URLS = f"""WITH u AS (SELECT DISTINCT canonical_url AS url FROM incoming_articles WHERE canonical_url IS NOT NULL),
+p AS (SELECT url, lower(regexp_extract(url, '^([^:/?#]+)://', 1)) AS s, regexp_replace(lower(regexp_extract(url, '^[^:/?#]+://([^/?#]*)', 1)), CASE WHEN lower(url) LIKE 'https:%' THEN ':443$' ELSE ':80$' END, '') AS h,
+ regexp_extract(url, '^[^:/?#]+://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '^[^?#]*\\?([^#]*)', 1) AS q FROM u),
+x AS (SELECT url, unnest(string_split(q, '&')) AS piece FROM p WHERE q <> ''),
+y AS (SELECT url, url_decode(replace(split_part(piece, '=', 1), '+', ' ')) AS name, url_decode(replace(CASE WHEN contains(piece, '=') THEN substr(piece, strpos(piece, '=') + 1) ELSE '' END, '+', ' ')) AS val FROM x WHERE piece <> ''),
+k AS (SELECT url, string_agg(replace(url_encode(name), '%20', '+') || '=' || replace(url_encode(val), '%20', '+'), '&' ORDER BY name, val) AS query FROM y WHERE NOT ({_TRACK}) GROUP BY url),
+c AS (SELECT p.url, s, h, path, coalesce(query, '') AS query FROM p LEFT JOIN k ON p.url = k.url) """
+
+
+@query(_URLS + "SELECT url, s || '://' || h || path || CASE WHEN query = '' THEN '' ELSE '?' || query END AS canonical FROM c")
+def canonical_urls(spark, sf):
+    u = T.table(spark, sf, "incoming_articles").select(F.col("canonical_url").alias("url")).where("url IS NOT NULL").distinct()
+    return u.select("url", urls.canonicalize_url(F.col("url")).alias("canonical"))
+
+
+@query(_URLS + "SELECT url, s || '://' || regexp_replace(h, '^www\\.', '') || regexp_replace(regexp_replace(path, '(^|/)(index\\.html|index\\.htm|index\\.php|default\\.html|default\\.htm)$', '\\1', 'i'), '/+$', '') || CASE WHEN query = '' THEN '' ELSE '?' || query END AS key FROM c")
+def dedupe_keys(spark, sf):
+    u = T.table(spark, sf, "incoming_articles").select(F.col("canonical_url").alias("url")).where("url IS NOT NULL").distinct()
+    return u.select("url", urls.dedupe_key(F.col("url")).alias("key"))
+
+
+@query("SELECT i.record_id, regexp_replace(regexp_replace(lower(regexp_extract(i.canonical_url, '^[^:/?#]+://([^/?#]*)', 1)), ':443$', ''), '^www\\.', '') = regexp_replace(regexp_replace(lower(regexp_extract(s.entrypoint, '^[^:/?#]+://([^/?#]*)', 1)), ':443$', ''), '^www\\.', '') AS same FROM incoming_articles i JOIN sources s ON i.source_id = s.id WHERE i.canonical_url IS NOT NULL")
+def same_site(spark, sf):
+    s = T.table(spark, sf, "sources").select(F.col("id").alias("source_id"), "entrypoint")
+    rows = T.table(spark, sf, "incoming_articles").where("canonical_url IS NOT NULL").join(F.broadcast(s), "source_id")
+    return rows.select("record_id", urls.same_site(F.col("canonical_url"), F.col("entrypoint")).alias("same"))
+
+
+@query(f"WITH {SQL_ARTICLES} SELECT article_id, trim(regexp_replace(lower(title), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g')) AS title_key FROM art")
+def normalized_titles(spark, sf):
+    return T.articles(spark, sf).select("article_id", text.normalize_title(F.col("title")).alias("title_key"))
+
+
+@query(f"WITH {SQL_ARTICLES} SELECT article_id, sha256(text) AS hash, sha256(text) = lower(content_hash) AS agrees FROM txt WHERE text IS NOT NULL")
+def content_hashes(spark, sf):
+    rows = T.articles(spark, sf, text=True).where("text IS NOT NULL")
+    return rows.select("article_id", text.content_hash(F.col("text")).alias("hash"), (text.content_hash(F.col("text")) == F.lower("content_hash")).alias("agrees"))
+
+
+# -- duplicates -------------------------------------------------------------------------
+
+
+def _keyed(spark, sf):
+    priority = T.table(spark, sf, "sources").select(F.col("id").alias("source_id"), "priority")
+    rows = T.articles(spark, sf).join(F.broadcast(priority), "source_id", "left")
+    rank = F.struct((-F.coalesce("priority", F.lit(0))).alias("p"), F.unix_micros(F.col("published_at").cast("timestamp")).alias("t"))
+    keyed = rows.select("article_id", "content_hash", urls.dedupe_key(F.col("canonical_url")).alias("url_key"), text.usable_title_key(F.col("title")).alias("title_key"), rank.alias("rank"))
+    return dedupe.deduplicate(keyed, F.col("rank"))
+
+
+_DEDUPE = (
+    "WITH RECURSIVE "
+    + SQL_ARTICLES
+    + """, k AS MATERIALIZED (SELECT a.article_id, row_number() OVER (ORDER BY -coalesce(s.priority, 0), a.published_at NULLS FIRST, a.article_id) AS r,
+ 'u:' || s0 || '://' || regexp_replace(h, '^www\\.', '') || regexp_replace(path, '/+$', '') || CASE WHEN q = '' THEN '' ELSE '?' || q END AS uk, 'h:' || a.content_hash AS hk,
+ CASE WHEN length(tk) >= 15 THEN 't:' || tk END AS tk FROM (SELECT *, lower(regexp_extract(canonical_url, '^([^:/?#]+)://', 1)) AS s0, lower(regexp_extract(canonical_url, '^[^:/?#]+://([^/?#]*)', 1)) AS h, regexp_extract(canonical_url, '^[^:/?#]+://[^/?#]*([^?#]*)', 1) AS path,
+ regexp_extract(canonical_url, '^[^?#]*\\?([^#]*)', 1) AS q, trim(regexp_replace(lower(title), '[^\\p{L}\\p{N}_]+', ' ', 'g')) AS tk FROM art) a LEFT JOIN sources s ON a.source_id = s.id),
+ w AS (SELECT 0::BIGINT AS r, NULL::VARCHAR AS article_id, FALSE AS kept, []::VARCHAR[] AS seen, NULL::VARCHAR AS reason UNION ALL
+ SELECT k.r, k.article_id, NOT list_has_any(w.seen, [k.uk, k.hk, k.tk]), CASE WHEN list_has_any(w.seen, [k.uk, k.hk, k.tk]) THEN w.seen ELSE list_concat(w.seen, list_filter([k.uk, k.hk, k.tk], lambda x: x IS NOT NULL)) END,
+ CASE WHEN list_contains(w.seen, k.uk) THEN 'url' WHEN list_contains(w.seen, k.hk) THEN 'content' WHEN list_contains(w.seen, k.tk) THEN 'title' END FROM w JOIN k ON k.r = w.r + 1) """
+)
+
+
+@query()
+def dedupe_articles(spark, sf):
+    return _keyed(spark, sf)
+
+
+@query()
+def dedupe_reasons(spark, sf):
+    return _keyed(spark, sf).groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+# -- events by similarity -------------------------------------------------------------------
+
+
+def _candidates(spark, sf):
+    texts = T.articles(spark, sf, text=True).where("text IS NOT NULL").select("article_id", "title", "text")
+    return T.ranked(spark, sf).join(texts, "article_id")
+
+
+_TFIDF = f"""WITH {SQL_ARTICLES}, {SQL_RANKED}, c AS (SELECT r.edition_id, r.article_id, r.source_id, r.final_score, r.published_at, regexp_extract_all(replace(lower(coalesce(t.title, '') || chr(10) || t.text), 'ß', 'ss'), '[a-z0-9]+') AS ts FROM rk r JOIN txt t ON r.article_id = t.article_id WHERE t.text IS NOT NULL),
+tf AS (SELECT edition_id, article_id, source_id, len(ts) AS n_words, term, count(*) AS tf FROM (SELECT *, unnest(ts) AS term FROM c) GROUP BY ALL),
+df AS (SELECT edition_id, term, count(*) AS df FROM tf GROUP BY ALL), tot AS (SELECT edition_id, count(*) AS total FROM c GROUP BY ALL),
+sa AS (SELECT edition_id, source_id, count(*) AS articles FROM c GROUP BY ALL), sc AS (SELECT t.edition_id, t.source_id, t.term, count(*) AS seen, any_value(sa.articles) AS articles FROM tf t JOIN sa ON t.edition_id = sa.edition_id AND t.source_id = sa.source_id WHERE sa.articles >= 3 GROUP BY ALL HAVING count(*) >= any_value(sa.articles) * 0.5),
+raw AS (SELECT t.edition_id, t.article_id, t.term, df.df, (1 + ln(tf)) * (ln((total + 1) / (df.df + 1)) + 1) AS x FROM tf t JOIN df ON t.edition_id = df.edition_id AND t.term = df.term JOIN tot ON t.edition_id = tot.edition_id
+ WHERE n_words >= 40 AND NOT EXISTS (SELECT 1 FROM sc WHERE sc.edition_id = t.edition_id AND sc.source_id = t.source_id AND sc.term = t.term)),
+pr AS (SELECT edition_id, article_id, term, df, x / sqrt(sum(x * x) OVER (PARTITION BY edition_id, article_id)) AS weight FROM raw) """
+
+
+@query(_TFIDF + "SELECT edition_id, source_id, term, seen, articles FROM sc")
+def source_chrome(spark, sf):
+    rows = _candidates(spark, sf)
+    return similarity.source_terms(similarity.term_counts(rows), rows).select("edition_id", "source_id", "term", "seen", "articles")
+
+
+@query(_TFIDF + "SELECT edition_id, article_id, count(*) AS terms, round(max(weight), 6) AS heaviest, round(sum(weight * weight), 6) AS norm FROM pr GROUP BY ALL")
+def tfidf_profiles(spark, sf):
+    return similarity.similarity_profiles(_candidates(spark, sf)).groupBy("edition_id", "article_id").agg(F.count("*").alias("terms"), F.round(F.max("weight"), 6).alias("heaviest"), F.round(F.sum(F.col("weight") * F.col("weight")), 6).alias("norm"))
+
+
+def _pairs(spark, sf):
+    rows = _candidates(spark, sf)
+    return rows, similarity.similar_pairs(similarity.similarity_profiles(rows), rows.where(F.col("final_score") >= THRESHOLD))
+
+
+@query(_TFIDF + "SELECT x.edition_id, x.article_id AS a, y.article_id AS b, round(sum(x.weight * y.weight), 6) AS cosine FROM pr x JOIN pr y ON x.edition_id = y.edition_id AND x.term = y.term AND x.article_id < y.article_id JOIN c cx ON cx.edition_id = x.edition_id AND cx.article_id = x.article_id AND cx.final_score >= 62 JOIN c cy ON cy.edition_id = y.edition_id AND cy.article_id = y.article_id AND cy.final_score >= 62 GROUP BY 1, 2, 3 HAVING round(sum(x.weight * y.weight), 9) >= 0.21")
+def similar_pairs(spark, sf):
+    return _pairs(spark, sf)[1]
+
+
+@query()
+def similar_event_collapse(spark, sf):
+    rows, pairs = _pairs(spark, sf)
+    rank = F.struct((-F.col("final_score")).alias("s"), F.unix_micros(F.col("published_at").cast("timestamp")).alias("t"), "article_id")
+    return similarity.collapse_similar(rows.where(F.col("final_score").isNotNull()), pairs, rank)
+
+
+# -- line-ups ------------------------------------------------------------------------------
+
+
+def _seated(spark, sf):
+    return seating.seat_editions(T.ranked(spark, sf), POLICY)
+
+
+@query()
+def seat_edition(spark, sf):
+    return _seated(spark, sf).where("position IS NOT NULL").select("edition_id", "article_id", "outcome", "position", "steps")
+
+
+@query()
+def seat_rejections(spark, sf):
+    return seating.rejection_counts(_seated(spark, sf))
+
+
+@query()
+def coverage_floors(spark, sf):
+    from dataclasses import replace
+
+    policy = replace(POLICY, floors=(("own_beat", OWN_BEAT, 4),))
+    return seating.seat_editions(T.ranked(spark, sf), policy).where("position IS NOT NULL").select("edition_id", "article_id", "outcome", "position")
+
+
+@query()
+def floor_cost(spark, sf):
+    from dataclasses import replace
+
+    return seating.floor_cost(T.ranked(spark, sf), replace(POLICY, floors=(("own_beat", OWN_BEAT, 4),)))
+
+
+# -- fidelity ---------------------------------------------------------------------------------
+
+
+@query()
+def entity_violations(spark, sf):
+    prose = T.assessments(spark, sf).where("article_id IS NOT NULL AND summary IS NOT NULL").groupBy("article_id").agg(F.max_by("summary", F.struct("created_at", "cache_key")).alias("text"))
+    sources = T.articles(spark, sf, text=True).where("text IS NOT NULL").select("article_id", F.concat_ws("\n", "title", "text").alias("text"))
+    return fidelity.unsupported_entities(prose.withColumn("field", F.lit("summary")), sources)
+
+
+# -- dimension queries ----------------------------------------------------------------------------
+
+
+@query("SELECT id, name, priority, row_number() OVER (ORDER BY priority DESC, id) AS place FROM sources WHERE enabled")
+def enabled_sources(spark, sf):
+    # One row per configured source: the window is bounded by the configuration.
+    return T.table(spark, sf, "sources").where("enabled").select("id", "name", "priority", F.row_number().over(Window.orderBy(F.col("priority").desc(), "id")).alias("place"))
+
+
+@query(f"WITH {SQL_ARTICLES} SELECT s.id AS source_id, count(a.article_id) AS articles, count(DISTINCT a.content_hash) AS texts FROM sources s LEFT JOIN art a ON a.source_id = s.id GROUP BY s.id")
+def source_article_counts(spark, sf):
+    s = T.table(spark, sf, "sources").select(F.col("id").alias("source_id"))
+    n = T.articles(spark, sf).groupBy("source_id").agg(F.count("*").alias("articles"), F.countDistinct("content_hash").alias("texts"))
+    return s.join(n, "source_id", "left").select("source_id", F.coalesce("articles", F.lit(0)).alias("articles"), F.coalesce("texts", F.lit(0)).alias("texts"))
+
+
+@query("SELECT content_hash, min_by(article_id, (first_seen_at, article_id)) AS article_id FROM articles WHERE content_hash IS NOT NULL AND article_id IS NOT NULL GROUP BY content_hash")
+def first_by_hash(spark, sf):
+    rows = T.table(spark, sf, "articles").where("content_hash IS NOT NULL AND article_id IS NOT NULL")
+    return rows.groupBy("content_hash").agg(F.min_by("article_id", F.struct("first_seen_at", "article_id")).alias("article_id"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_queries)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_sql) | {
+        "dedupe_articles": _DEDUPE + "SELECT article_id, kept, reason, CASE WHEN NOT kept THEN (SELECT min(o.article_id) FROM w o JOIN k ok ON o.article_id = ok.article_id JOIN k me ON me.article_id = w.article_id WHERE o.kept AND CASE w.reason WHEN 'url' THEN ok.uk = me.uk WHEN 'content' THEN ok.hk = me.hk ELSE ok.tk = me.tk END) END AS survivor FROM w WHERE r > 0",
+        "dedupe_reasons": _DEDUPE + "SELECT coalesce(reason, 'kept') AS reason, count(*) AS n FROM w WHERE r > 0 GROUP BY 1",
+    }
