@@ -39,6 +39,8 @@ WORDS = 3
 SIMILARITY = 0.5
 #: Common elements that a pair with a heavy set must have in its prefixes.
 MEET = 8
+#: A number that all numbers up to MEET divide.
+WHOLE = math.lcm(*range(1, MEET + 1))
 #: Texts handled at once within a task.
 SLICE = 512
 
@@ -220,8 +222,10 @@ def candidate_pairs(entries: DataFrame, light: int, t: float = SIMILARITY, other
     joined = x.join(y, "key").where(close & route & (F.col("x_place") < n - overlap + meet) & (F.col("y_place") < m - overlap + meet))
     if other is None:
         joined = joined.where((n < m) | ((n == m) & (F.col("x_class_id") < F.col("y_class_id"))))
-    met = joined.select(F.col("x_class_id").alias("a"), F.col("y_class_id").alias("b"), F.when(F.col("x_place") < 0, F.lit(MEET)).otherwise(F.lit(1)).alias("met"), meet.alias("meet"))
-    return met.groupBy("a", "b").agg(F.sum("met").alias("met"), F.max("meet").alias("meet")).where("met >= meet").select("a", "b")
+    # A meeting counts for its share of those the pair needs, so that one sum tells.
+    share = F.when(F.col("x_place") < 0, F.lit(WHOLE)).otherwise((F.lit(WHOLE) / meet).cast("int"))
+    met = joined.select(F.col("x_class_id").alias("a"), F.col("y_class_id").alias("b"), share.alias("share"))
+    return met.groupBy("a", "b").agg(F.sum("share").alias("share")).where(F.col("share") >= WHOLE).select("a", "b")
 
 
 def shingle_sets(texts: DataFrame, wanted: DataFrame, words: int = WORDS) -> DataFrame:

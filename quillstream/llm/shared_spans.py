@@ -157,7 +157,8 @@ def class_spans(documents: DataFrame, least: int = LEAST) -> tuple[DataFrame, Da
     parts = max(1, -(-n * LOAD // (MOST_CELLS * 2)))
     hits = None
     for part in range(parts):
-        mine = blocks if parts == 1 else blocks.where(F.pmod(F.col("h").cast("decimal(20,0)") + F.when(F.col("h") < 0, F.lit(1 << 64).cast("decimal(20,0)")).otherwise(F.lit(0).cast("decimal(20,0)")), F.lit(parts)) == part)
+        unsigned = F.col("h").cast("decimal(21,0)") + F.when(F.col("h") < 0, F.lit("18446744073709551616")).otherwise("0").cast("decimal(21,0)")
+        mine = blocks if parts == 1 else blocks.where(F.pmod(unsigned, F.lit(parts)) == part)
         summary = summarize(mine.select("h"), lambda b: b.column("h").to_numpy().view(np.uint64), cells_for(n, LOAD), depth=2)
         windows = probing_windows(docs, size, spark.sparkContext.broadcast(summary), part, parts)
         x = mine.select("h", F.col("doc_id").alias("a"), F.col("place").alias("pa"))
