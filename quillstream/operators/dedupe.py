@@ -28,8 +28,11 @@ def deduplicate(articles: DataFrame, rank: Column) -> DataFrame:
     nodes = materialize(articles.select(F.col("article_id").alias("id"), rank.alias("rank")), "dedupe-nodes")
     keys = materialize(conflict_keys(articles), "dedupe-keys")
     kept = materialize(greedy_keep(nodes, keys.select("id", F.concat_ws(":", "kind", "key").alias("key"))), "dedupe-kept")
-    owners = keys.join(kept.where("kept"), "id").select("kind", "key", F.col("id").alias("survivor"))
-    lost = keys.join(kept.where("NOT kept"), "id", "left_semi").join(owners, ["kind", "key"])
+    ranked = keys.join(nodes, "id")
+    owners = ranked.join(kept.where("kept").select("id"), "id").select("kind", "key", F.col("rank").alias("o_rank"), F.col("id").alias("survivor"))
+    # A row kept later may share another key with a dropped one, but didn't drop it.
+    earlier = F.struct("o_rank", F.col("survivor").alias("o_id")) < F.struct(F.col("rank").alias("o_rank"), F.col("id").alias("o_id"))
+    lost = ranked.join(kept.where("NOT kept").select("id"), "id", "left_semi").join(owners, ["kind", "key"]).where(earlier)
     # A key has one owner at most, since two kept rows never share one.
     why = lost.groupBy("id").agg(F.min(F.struct("kind", "survivor")).alias("w"))
     names = F.array(*[F.lit(r) for r in REASONS])
