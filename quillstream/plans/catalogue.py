@@ -368,6 +368,38 @@ def floor_cost(spark, sf):
     return seating.floor_cost(T.ranked(spark, sf), replace(POLICY, floors=(("own_beat", OWN_BEAT, 4),)))
 
 
+_SEATS = f"""WITH RECURSIVE {SQL_RANKED}, c AS (SELECT edition_id, article_id, coalesce(source_id, '') AS source_id, category, row_number() OVER (PARTITION BY edition_id ORDER BY final_score DESC, published_at ASC NULLS LAST, article_id) AS r
+ FROM rk WHERE final_score >= 62 AND category IS NOT NULL AND category NOT IN ('other', '')),
+lim AS (SELECT * FROM (VALUES ('youtube_platform', 4), ('youtube_monetization', 4), ('kids_content', 4), ('ai_video', 3), ('ai_models', 3), ('ai_business', 3)) v(category, cap)),
+k AS MATERIALIZED (SELECT c.*, coalesce(lim.cap, 10) AS cap FROM c LEFT JOIN lim USING (category)),
+w AS (SELECT DISTINCT edition_id, CAST(step AS INT) AS step, 0::BIGINT AS r, []::STRUCT(a VARCHAR, c VARCHAR, s VARCHAR)[] AS seated, FALSE AS rationed FROM k, range(0, 9) t(step) UNION ALL
+ SELECT w.edition_id, w.step, k.r, CASE WHEN ok THEN list_append(w.seated, {{'a': k.article_id, 'c': k.category, 's': k.source_id}}) ELSE w.seated END, w.rationed OR NOT ok
+ FROM w JOIN k ON k.edition_id = w.edition_id AND k.r = w.r + 1, LATERAL (SELECT len(w.seated) < 10 AND len(list_filter(w.seated, lambda x: x.c = k.category)) < least(k.cap + w.step, 10)
+  AND (k.source_id = '' OR len(list_filter(w.seated, lambda x: x.s = k.source_id)) < least(2 + w.step, 10)) AS ok) o),
+f AS (SELECT edition_id, step, max_by(seated, r) AS seated, max_by(rationed, r) AS rationed FROM w GROUP BY ALL),
+g AS (SELECT edition_id, min(step) AS steps FROM f WHERE len(seated) >= 6 OR NOT rationed OR step = 8 GROUP BY 1),
+s AS (SELECT g.edition_id, g.steps, unnest(f.seated) AS x FROM g JOIN f ON f.edition_id = g.edition_id AND f.step = g.steps)
+SELECT s.edition_id, s.x.a AS article_id, 'earned' AS outcome, CAST(row_number() OVER (PARTITION BY s.edition_id ORDER BY k.r) AS INT) AS position, s.steps FROM s JOIN k ON k.edition_id = s.edition_id AND k.article_id = s.x.a"""
+
+
+@query()
+def edition_records(spark, sf):
+    """The seated line-ups as nested JSON records."""
+    from quillstream.plans.edition import build_editions, edition_json
+
+    texts = T.articles(spark, sf).select("article_id", "title", "canonical_url")
+    seats = _seated(spark, sf).where("position IS NOT NULL").select("edition_id", "article_id", "position")
+    items = seats.join(T.ranked(spark, sf), ["edition_id", "article_id"]).join(texts, "article_id", "left").withColumn("summary", F.lit(None).cast("string"))
+    return edition_json(build_editions(items, tuple(POLICY.section_limits)))
+
+
+@query(f"WITH {SQL_ARTICLES}, k AS (SELECT DISTINCT record_id, canonical_url FROM incoming_articles WHERE canonical_url IS NOT NULL) SELECT k.record_id, a.article_id IS NOT NULL AS known FROM k LEFT JOIN (SELECT canonical_url, min(article_id) AS article_id FROM art GROUP BY 1) a USING (canonical_url)")
+def known_links(spark, sf):
+    known = T.articles(spark, sf).select("canonical_url").where("canonical_url IS NOT NULL").distinct().withColumn("known", F.lit(True))
+    rows = T.table(spark, sf, "incoming_articles").select("record_id", "canonical_url").where("canonical_url IS NOT NULL").distinct()
+    return rows.join(known, "canonical_url", "left").select("record_id", F.coalesce("known", F.lit(False)).alias("known"))
+
+
 # -- fidelity ---------------------------------------------------------------------------------
 
 
@@ -406,6 +438,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_sql) | {
+        "seat_edition": _SEATS,
         "dedupe_articles": _DEDUPE + "SELECT article_id, kept, reason, CASE WHEN NOT kept THEN (SELECT min(o.article_id) FROM w o JOIN k ok ON o.article_id = ok.article_id JOIN k me ON me.article_id = w.article_id WHERE o.kept AND CASE w.reason WHEN 'url' THEN ok.uk = me.uk WHEN 'content' THEN ok.hk = me.hk ELSE ok.tk = me.tk END) END AS survivor FROM w WHERE r > 0",
         "dedupe_reasons": _DEDUPE + "SELECT coalesce(reason, 'kept') AS reason, count(*) AS n FROM w WHERE r > 0 GROUP BY 1",
     }
