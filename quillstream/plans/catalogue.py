@@ -142,7 +142,7 @@ _POOL = f"WITH {SQL_ARTICLES}, d AS (SELECT a.article_id, a.source_id, coalesce(
 
 def _robin(spark, sf):
     priorities = T.table(spark, sf, "sources").select(F.col("id").alias("source_id"), "priority")
-    rows = pool.round_robin(T.articles(spark, sf), F.broadcast(priorities)).select("article_id", "source_id", "priority", "depth")
+    rows = pool.round_robin(T.articles(spark, sf), priorities).select("article_id", "source_id", "priority", "depth")
     return pool.positions(rows, pool.round_robin_order())
 
 
@@ -242,7 +242,7 @@ def dedupe_keys(spark, sf):
 @query("SELECT i.record_id, regexp_replace(regexp_replace(lower(regexp_extract(i.canonical_url, '^[^:/?#]+://([^/?#]*)', 1)), ':443$', ''), '^www\\.', '') = regexp_replace(regexp_replace(lower(regexp_extract(s.entrypoint, '^[^:/?#]+://([^/?#]*)', 1)), ':443$', ''), '^www\\.', '') AS same FROM incoming_articles i JOIN sources s ON i.source_id = s.id WHERE i.canonical_url IS NOT NULL")
 def same_site(spark, sf):
     s = T.table(spark, sf, "sources").select(F.col("id").alias("source_id"), "entrypoint")
-    rows = T.table(spark, sf, "incoming_articles").where("canonical_url IS NOT NULL").join(F.broadcast(s), "source_id")
+    rows = T.table(spark, sf, "incoming_articles").where("canonical_url IS NOT NULL").join(s, "source_id")
     return rows.select("record_id", urls.same_site(F.col("canonical_url"), F.col("entrypoint")).alias("same"))
 
 
@@ -262,7 +262,7 @@ def content_hashes(spark, sf):
 
 def _keyed(spark, sf):
     priority = T.table(spark, sf, "sources").select(F.col("id").alias("source_id"), "priority")
-    rows = T.articles(spark, sf).join(F.broadcast(priority), "source_id", "left")
+    rows = T.articles(spark, sf).join(priority, "source_id", "left")
     rank = F.struct((-F.coalesce("priority", F.lit(0))).alias("p"), F.unix_micros(F.col("published_at").cast("timestamp")).alias("t"))
     keyed = rows.select("article_id", "content_hash", urls.dedupe_key(F.col("canonical_url")).alias("url_key"), text.usable_title_key(F.col("title")).alias("title_key"), rank.alias("rank"))
     return dedupe.deduplicate(keyed, F.col("rank"))

@@ -34,6 +34,15 @@ def shared_dir(spark: SparkSession) -> str:
 _tables: dict[str, list[str]] = {}
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there stays until `drop_scratch` or the end of the program."""
+    path = f"{shared_dir(spark)}/quillstream/{name}-{uuid.uuid4().hex[:12]}"
+    _tables.setdefault(spark.sparkContext.applicationId, []).append(path)
+    if path.startswith("file:"):
+        atexit.register(shutil.rmtree, path.removeprefix("file://"), ignore_errors=True)
+    return path
+
+
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     """Write df as Parquet into the shared folder and read it back.
 
@@ -41,13 +50,9 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     until `drop_scratch` or the end of the program, since the caller may still
     evaluate frames that read them.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quillstream/{name}-{uuid.uuid4().hex[:12]}"
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    _tables.setdefault(spark.sparkContext.applicationId, []).append(path)
-    if path.startswith("file:"):
-        atexit.register(shutil.rmtree, path.removeprefix("file://"), ignore_errors=True)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def drop_scratch(spark: SparkSession) -> None:
