@@ -24,7 +24,6 @@ an identifier that several records share is settled for all of them by the first
 from __future__ import annotations
 
 import pickle
-import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -35,7 +34,7 @@ from quillstream.llm import near_duplicates as near
 from quillstream.llm.common import payload_text
 from quillstream.llm.sketch import Summary, cells_for, summarize
 from quillstream.operators.greedy import greedy_keep
-from quillstream.runtime import broadcast_if_small, materialize, shared_dir
+from quillstream.runtime import broadcast_if_small, materialize, scratch_path
 
 
 def _text_key() -> F.Column:
@@ -166,5 +165,5 @@ class History:
 def held_records(articles: DataFrame, incoming: DataFrame, path: str | None = None) -> DataFrame:
     """(record_id, held) of all incoming records against a store made of `articles` (at `path`, or in the shared folder)."""
     spark = articles.sparkSession
-    store = History.create(articles, path or f"{shared_dir(spark)}/quillstream/history-{uuid.uuid4().hex[:12]}")
+    store = History.create(articles, path or scratch_path(spark, "history"))
     return store.check(incoming)
