@@ -139,16 +139,36 @@ def seat_editions(ranked: DataFrame, policy: Policy) -> DataFrame:
         return pd.DataFrame({"edition_id": frame["edition_id"].iloc[0], "article_id": ids, "outcome": [seated.get(i) or refused.get(i) for i in ids], "position": pd.array([place.get(i) for i in ids], dtype="Int32"), "steps": steps})
 
     done = candidates.groupBy("edition_id").applyInPandas(fold, "edition_id string, article_id string, outcome string, position int, steps int")
-    # Rows that were set aside: their reason follows from the line-up, since a cap that is reached stays so.
+    # Rows that were set aside: their reason follows from the line-up.  At a row's turn the seats taken are
+    # the reserved and floor seats and those earned before it; an edition has max_items seats at most.
     steps = done.groupBy("edition_id").agg(F.max("steps").alias("_steps"))
     rest = base.join(done, ["edition_id", "article_id"], "left").join(steps, "edition_id", "left")
-    reason = (
-        F.when(F.col("outcome").isNotNull(), F.col("outcome"))
-        .when(~eligible, F.lit("excluded_category"))
-        .when(F.col("final_score") < policy.min_score, F.lit("below_threshold"))
-        .otherwise(F.lit("rationed"))
-    )
-    return rest.select("edition_id", "article_id", reason.alias("outcome"), "position", F.coalesce("steps", "_steps", F.lit(0)).alias("steps"))
+    aside = rest.where(F.col("outcome").isNull() & eligible & (F.col("final_score") >= policy.min_score)).drop("outcome", "position", "steps")
+    place = lambda p: [-F.col(f"{p}final_score"), F.col(f"{p}published_at").isNull(), F.col(f"{p}published_at"), F.col(f"{p}article_id")]
+    seats = base.join(done.where("position IS NOT NULL"), ["edition_id", "article_id"])
+    seats = seats.select("edition_id", *[F.col(c).alias(f"s_{c}") for c in ("article_id", "source_id", "category", "final_score", "published_at", "subject", "outcome")])
+    taken = F.coalesce((F.col("s_outcome") != "earned") | _before(place("s_"), place("")), F.lit(False))
+    counts = [F.count_if(taken).alias("_all")] + [F.count_if(taken & (F.col(c) != "") & (F.col(c) == F.col(f"s_{c}"))).alias(f"_{c}") for c in ("category", "source_id", "subject")]
+    seen = aside.join(seats, "edition_id", "left").groupBy("edition_id", "article_id", "category", "_steps").agg(*counts)
+    up = lambda cap: F.least(F.lit(cap) + F.coalesce("_steps", F.lit(0)), F.lit(policy.max_items))
+    limit = F.lit(policy.max_items)
+    for name, cap in policy.section_limits.items():
+        limit = F.when(F.col("category") == name, up(cap)).otherwise(limit)
+    why = F.when(F.col("_all") >= policy.max_items, "max_items").when(F.col("_category") >= limit, "category_limit")
+    for column, cap, name in (("_source_id", policy.max_per_source, "source_limit"), ("_subject", policy.max_per_subject, "subject_limit")):
+        if cap is not None:
+            why = why.when(F.col(column) >= up(cap), name)
+    named = seen.select("edition_id", "article_id", why.alias("_why"))
+    reason = F.coalesce("outcome", "_why", F.when(~eligible, "excluded_category").otherwise("below_threshold"))
+    return rest.join(named, ["edition_id", "article_id"], "left").select("edition_id", "article_id", reason.alias("outcome"), "position", F.coalesce("steps", "_steps", F.lit(0)).alias("steps"))
+
+
+def _before(x: list[F.Column], y: list[F.Column]) -> F.Column:
+    """Whether x comes before y, compared column by column."""
+    out = F.lit(False)
+    for a, b in reversed(list(zip(x, y))):
+        out = F.coalesce(a < b, F.lit(False)) | (a.eqNullSafe(b) & out)
+    return out
 
 
 def rejection_counts(seated: DataFrame) -> DataFrame:
