@@ -44,18 +44,14 @@ def similarity_profiles(rows: DataFrame, group: str = "edition_id") -> DataFrame
 def similar_pairs(profiles: DataFrame, eligible: DataFrame, threshold: float = THRESHOLD, group: str = "edition_id") -> DataFrame:
     """(group, a, b, cosine), a < b, of eligible articles whose cosine reaches the threshold.
 
-    The most frequent terms of each profile, as many as together can't reach the
-    threshold, needn't match: two similar profiles share a rarer term of both.
+    Weights meet term by term and are summed up per pair, in part before the
+    shuffle.  Only eligible articles of one edition meet, which bounds the pairs; the
+    statistics behind their weights are those of all candidates.
     """
-    mine = materialize(profiles.join(eligible.select(group, "article_id").distinct(), [group, "article_id"], "left_semi"), "profiles")
-    tail = F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy(group, "article_id").orderBy(F.col("df").desc(), "term"))
-    rare = mine.withColumn("tail", F.sqrt(tail)).where(F.col("tail") >= threshold - 1e-9).select(group, "article_id", "term")
-    x, y = rare.withColumnRenamed("article_id", "a"), rare.withColumnRenamed("article_id", "b")
-    pairs = x.join(y, [group, "term"]).where("a < b").select(group, "a", "b").distinct()
-    vectors = materialize(mine.groupBy(group, "article_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("v")), "vectors")
-    va, vb = (vectors.select(group, F.col("article_id").alias(c), F.col("v").alias(f"v{c}")) for c in "ab")
-    dot = F.aggregate(F.map_keys("va"), F.lit(0.0), lambda s, k: s + F.col("va")[k] * F.coalesce(F.try_element_at("vb", k), F.lit(0.0)))
-    scored = pairs.join(va, [group, "a"]).join(vb, [group, "b"]).select(group, "a", "b", dot.alias("cosine"))
+    mine = materialize(profiles.join(eligible.select(group, "article_id").distinct(), [group, "article_id"], "left_semi").select(group, "article_id", "term", "weight"), "profiles")
+    x = mine.select(group, "term", F.col("article_id").alias("a"), F.col("weight").alias("wa"))
+    y = mine.select(group, "term", F.col("article_id").alias("b"), F.col("weight").alias("wb"))
+    scored = x.join(y, [group, "term"]).where("a < b").groupBy(group, "a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine"))
     return scored.where(F.round("cosine", 9) >= threshold).select(group, "a", "b", F.round("cosine", 6).alias("cosine"))
 
 
