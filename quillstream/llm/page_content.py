@@ -11,7 +11,9 @@ so labelling rules name the lines they are sure of on a bounded sample of pages
 (`SAMPLE` pages in the order of a hash of their identifiers), and the regression carries
 these over to all lines by their words, shape, place, neighbours and repetition.
 How often a line stands in the articles of its source and of all sources, and whether it is the
-title of an article, comes from a count-min summary over all articles.
+title of an article, is counted exactly over all articles, at every size: each article asks
+for the keys of its lines, keys are counted in part before they are shuffled, and a join gives each article the
+counts of those that stand elsewhere too.
 
 Defined cases: rows without article_id or text are left out, an article saved
 again counts once, as its latest row whose payload parses; a null title
@@ -33,8 +35,7 @@ from pyspark.sql import functions as F
 from quillstream.functions.urls import let
 from quillstream.llm.common import article_texts, latest_only
 from quillstream.llm.repeated_lines import line_letters
-from quillstream.llm.sketch import cells_for, summarize
-from quillstream.llm.textkernel import distinct_per_doc, mix64
+from quillstream.runtime import materialize
 
 #: Pages the classifier is trained on; hashed word weights; capacities of edges and their upper bound at terminals.
 SAMPLE = 4000
@@ -298,7 +299,7 @@ def page_edges(x: np.ndarray) -> list[tuple[int, int, float]]:
 
 
 def _keyed(texts: DataFrame) -> DataFrame:
-    """Texts with, per line, the keys that the summary counts: in its source, in all sources, as a title.
+    """Texts with, per line, the keys that are counted: in its source, in all sources, as a title.
 
     Paragraphs count in their source only; other counts are about lines short
     enough to be furniture, a subheading or a title.  A key of 0 counts nothing.
@@ -323,22 +324,12 @@ def _keyed(texts: DataFrame) -> DataFrame:
         return let(line_letters(line), keys)
 
     lines = F.split("text", "\n")
-    return texts.select("article_id", "stamp", "title", F.coalesce("source_id", F.lit("")).alias("source"), lines.alias("lines"), F.transform(lines, of_line).alias("info"), F.xxhash64(F.lit("^"), line_letters(F.col("title"))).alias("head"))
+    known = ["known"] if "known" in texts.columns else []
+    return texts.select("article_id", "stamp", "title", F.coalesce("source_id", F.lit("")).alias("source"), lines.alias("lines"), F.transform(lines, of_line).alias("info"), F.xxhash64(F.lit("^"), line_letters(F.col("title"))).alias("head"), *known)
 
 
-#: Titles are counted under several keys, since one would be taken for another too often.
-_TITLE_KEYS = [np.uint64(0), np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)]
-
-
-def _is_title(summary, keys: np.ndarray) -> np.ndarray:
-    out = np.ones(len(keys), dtype=bool)
-    for x in _TITLE_KEYS:
-        out &= summary.estimate(mix64(keys ^ x)) > 0
-    return out
-
-
-#: Marks that turn a line's key into that of its places after, and before, a paragraph.
-_LED, _FOLLOWED = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
+#: What an article has to do with a key: counts once for it, in a place after or before a paragraph, is titled so; 0 only asks for it.
+_COUNTS, _LED, _FOLLOWED, _TITLED = 1, 2, 4, 8
 
 
 def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, dict[str, np.ndarray], np.ndarray]:
@@ -351,29 +342,104 @@ def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, dict[str, np.ndarray],
     return np.repeat(np.arange(batch.num_rows), np.diff(offsets)), fields, offsets
 
 
-def _items(batch: pa.RecordBatch) -> np.ndarray:
-    row, f, _ = _columns(batch)
-    heads = batch.column("head").to_numpy().view(np.uint64)
+def _per_article(rows: np.ndarray, keys: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (row, key) with the kinds of all its places together, and the index of each place's among them."""
+    order = np.lexsort((keys, rows))
+    r, k = rows[order], keys[order]
+    new = np.ones(len(r), dtype=bool)
+    new[1:] = (r[1:] != r[:-1]) | (k[1:] != k[:-1])
+    at = np.empty(len(r), dtype=np.int64)
+    at[order] = np.cumsum(new) - 1
+    kinds = np.bitwise_or.reduceat(kind[order], np.flatnonzero(new)) if len(r) else kind
+    return r[new], k[new], kinds, at
+
+
+def _places(row: np.ndarray, f: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The lines whose places count in all sources, and what each place is."""
     at = np.flatnonzero(f["there"])
-    r, solid, everywhere = row[at], f["solid"][at], f["everywhere"][at]
+    r, solid = row[at], f["solid"][at]
     same = r[1:] == r[:-1]
-    led, followed = np.zeros(len(at), dtype=bool), np.zeros(len(at), dtype=bool)
-    led[1:], followed[:-1] = same & solid[:-1], same & solid[1:]
-    brief = everywhere != 0
-    rows = np.concatenate([r, r[brief], r[led & brief], r[followed & brief]])
-    keys = np.concatenate([f["own"][at], everywhere[brief], mix64(everywhere[led & brief] ^ _LED), mix64(everywhere[followed & brief] ^ _FOLLOWED)])
-    _, once = distinct_per_doc(rows[keys != 0], keys[keys != 0])  # articles count, not places
-    return np.concatenate([once, *(mix64(heads ^ x) for x in _TITLE_KEYS)])
+    kind = np.full(len(at), _COUNTS, dtype=np.int8)
+    kind[1:][same & solid[:-1]] |= _LED
+    kind[:-1][same & solid[1:]] |= _FOLLOWED
+    brief = f["everywhere"][at] != 0
+    return at[brief], kind[brief]
+
+
+def _uses(batches):
+    """(key, doc, kind) per article and key, from batches of (doc, info, head)."""
+    for batch in batches:
+        row, f, _ = _columns(batch)
+        heads, doc = batch.column("head").to_numpy().view(np.uint64), batch.column("doc").to_numpy()
+        own = np.flatnonzero(f["there"] & (f["own"] != 0))
+        brief, kind = _places(row, f)
+        parts = [(row[own], f["own"][own], np.full(len(own), _COUNTS, np.int8)), (row[brief], f["everywhere"][brief], kind)]
+        for name in ("head", "tail"):
+            asked = np.flatnonzero((f[name] != 0) & (f[name] != heads[row]))
+            parts.append((row[asked], f[name][asked], np.zeros(len(asked), np.int8)))
+        parts.append((np.arange(batch.num_rows), heads, np.full(batch.num_rows, _TITLED, np.int8)))
+        r, k, kinds, _ = _per_article(*(np.concatenate(x) for x in zip(*parts)))
+        yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(doc[r]), pa.array(kinds)], ["key", "doc", "kind"])
+
+
+def line_counts(texts: DataFrame) -> DataFrame:
+    """(doc, known): per article, by the hash of its identifier, the keys of its lines that stand in another article too or are a title, with exact counts.
+
+    A key that isn't named there stands in this article alone.  Two identifiers of
+    equal hash do no harm, as a key's counts are the same for all articles.
+    """
+    keyed = _keyed(texts).select("article_id", "stamp", "info", "head")
+    latest = latest_only(keyed).dropDuplicates(["article_id"]).select(F.xxhash64("article_id").alias("doc"), "info", "head")
+    uses = materialize(latest.mapInArrow(_uses, "key long, doc long, kind byte"), "p3-uses")
+
+    def has(mark: int) -> F.Column:
+        return F.col("kind").bitwiseAND(F.lit(mark).cast("byte")) != 0
+
+    counts = uses.where("kind <> 0").groupBy("key").agg(F.count_if(has(_COUNTS)).alias("n"), F.count_if(has(_LED)).alias("led"), F.count_if(has(_FOLLOWED)).alias("followed"), F.bool_or(has(_TITLED)).alias("titled"))
+    asked = uses.where(f"kind <> {_TITLED}").select("key", "doc")
+    found = asked.join(counts.where("n > 1 OR titled"), "key")
+    return materialize(found.groupBy("doc").agg(F.collect_list(F.struct("key", "n", "led", "followed", "titled")).alias("known")), "p3-counts")
+
+
+def _with_counts(texts: DataFrame, counts: DataFrame) -> DataFrame:
+    """Keyed texts with the counts of their lines."""
+    return _keyed(texts.withColumn("doc", F.xxhash64("article_id")).join(counts, "doc", "left"))
 
 
-def _pages(batch: pa.RecordBatch, summary):
+def _pages(batch: pa.RecordBatch):
     """(row, numbers of the non-blank lines, arguments of `page_features`) of each page of a batch."""
     row, f, offsets = _columns(batch)
     head = batch.column("head").to_numpy().view(np.uint64)[row] if len(row) else np.zeros(0, np.uint64)
-    own, everywhere = (np.where(f[k] == 0, 0, summary.estimate(f[k]).astype(np.int64)) for k in ("own", "everywhere"))
-    other, tail = ((f[k] != 0) & (f[k] != head) & _is_title(summary, f[k]) for k in ("head", "tail"))
+    flat = batch.column("known").flatten()
+    keys, first = np.unique(flat.field("key").to_numpy(zero_copy_only=False).view(np.uint64), return_index=True)
+    counts = {name: flat.field(name).to_numpy(zero_copy_only=False)[first] for name in ("n", "led", "followed", "titled")}
+
+    def find(wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which keys are known, and where."""
+        at = np.minimum(np.searchsorted(keys, wanted), max(0, len(keys) - 1))
+        return (keys[at] == wanted if len(keys) else np.zeros(len(wanted), dtype=bool)), at
+
+    def count(wanted: np.ndarray, name: str, alone: np.ndarray) -> np.ndarray:
+        """The count of each key; of one that isn't known, that in its own article."""
+        there, at = find(wanted)
+        out = alone.astype(np.int64)
+        out[there] = counts[name][at[there]]
+        return np.where(wanted == 0, 0, out)
+
+    def is_title(wanted: np.ndarray) -> np.ndarray:
+        there, at = find(wanted)
+        there[there] = counts["titled"][at[there]]
+        return there & (wanted != 0) & (wanted != head)
+
+    brief, kind = _places(row, f)
+    _, _, kinds, at = _per_article(row[brief], f["everywhere"][brief], kind)
+    own_kind = np.zeros(len(row), dtype=np.int8)
+    own_kind[brief] = kinds[at]
+    one = np.ones(len(row), dtype=np.int64)
+    own, everywhere = count(f["own"], "n", one), count(f["everywhere"], "n", one)
+    other, tail = is_title(f["head"]), is_title(f["tail"])
     places = np.maximum(everywhere, 1)
-    led, followed = (np.where(everywhere > 0, np.minimum(summary.estimate(mix64(f["everywhere"] ^ m)) / places, 1.0), 0.0) for m in (_LED, _FOLLOWED))
+    led, followed = (count(f["everywhere"], name, own_kind & mark != 0) / places for name, mark in (("led", _LED), ("followed", _FOLLOWED)))
     lines, titles, sources = (batch.column(c).to_pylist() for c in ("lines", "title", "source"))
     there = f["there"]
     for r in range(batch.num_rows):
@@ -388,22 +454,19 @@ def _pages(batch: pa.RecordBatch, summary):
 def label_lines(articles: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(article_id, line_no, furniture, odds) of every non-blank line of every article."""
     spark = articles.sparkSession
-    keyed = _keyed(article_texts(articles))
-    n = articles.count()
-    summary = summarize(keyed.select("info", "head"), _items, cells_for(100 * n), depth=2)
+    counts = line_counts(article_texts(articles))
     # A bounded sample of pages, the same for the same articles in any order.
     ids = articles.select("article_id").where("article_id IS NOT NULL").distinct().orderBy(F.xxhash64("article_id"), "article_id").limit(sample)
-    chosen = _keyed(article_texts(articles.join(F.broadcast(ids), "article_id", "left_semi")))
+    chosen = _with_counts(latest_only(article_texts(articles.join(F.broadcast(ids), "article_id", "left_semi"))), counts)
     rows = chosen.orderBy("article_id", "stamp").limit(2 * sample).toArrow()
-    pages = [p for b in rows.combine_chunks().to_batches() for _, _, p in _pages(b, summary) if p is not None]
-    weights = fit(pages)
-    shared = spark.sparkContext.broadcast((summary, weights))
+    pages = [p for b in rows.combine_chunks().to_batches() for _, _, p in _pages(b) if p is not None]
+    shared = spark.sparkContext.broadcast(fit(pages))
 
     def per_task(batches):
-        known, w = shared.value
+        w = shared.value
         for batch in batches:
             row, no, side, odds = [], [], [], []
-            for r, kept, page in _pages(batch, known):
+            for r, kept, page in _pages(batch):
                 row.append(r)  # a mark, so that the latest row of an article is known even if it has no line
                 no.append(0)
                 side.append(False)
@@ -424,7 +487,7 @@ def label_lines(articles: DataFrame, sample: int = SAMPLE) -> DataFrame:
             take = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("article_id").take(take), batch.column("stamp").take(take), pa.array(no, pa.int32()), pa.array(side, pa.bool_()), pa.array(odds, pa.float64())], ["article_id", "stamp", "line_no", "furniture", "odds"])
 
-    labelled = keyed.mapInArrow(per_task, "article_id string, stamp struct<at: bigint, h: bigint>, line_no int, furniture boolean, odds double")
+    labelled = _with_counts(article_texts(articles), counts).mapInArrow(per_task, "article_id string, stamp struct<at: bigint, h: bigint>, line_no int, furniture boolean, odds double")
     return latest_only(labelled).where("line_no > 0").drop("stamp").dropDuplicates(["article_id", "line_no"])
 
 

@@ -97,6 +97,38 @@ def test_long_page_and_saved_again(articles):
     assert rows(page_content.label_lines(df).select("article_id", "line_no")) == [("a000", 1)]
 
 
+def test_counts_stay_exact_with_many_different_lines(articles):
+    # 40,000 different lines: far more keys than a summary sized by the number of pages has cells.
+    made = [{"title": _title(i), "body": _page(i)} for i in range(20)]
+    made += [{"title": _title((i, "long")), "body": "\n".join(f"The {_word(i, k, 'x')} of {_word(i, k, 'y')} met a {_word(i, k, 'z')} in {_word(i, k, 'u')} to talk {_word(i, k, 'v')}." for k in range(400))} for i in range(100)]
+    wrong = page_content.label_lines(articles(made)).where("furniture AND article_id >= 'a020'").count()
+    assert wrong == 0
+
+
+def test_counts_of_lines_are_those_of_brute_force(articles):
+    rnd = random.Random(5)
+    long = "A long paragraph about the budget that goes on for more than sixty letters without a stop."
+    made = [{"title": f"Line {_word(i % 7)}", "source_id": f"s{i % 2}", "body": "\n".join(rnd.choice([long, *(f"line {_word(k)}" for k in range(9)), f"only {_word(i, 'o')}"]) for _ in range(6))} for i in range(20)]
+    made += [{**made[3], "article_id": "a003"}, {"article_id": "a004", "title": "x", "source_id": "s0", "body": "alone here"}]
+    latest = {r.get("article_id", f"a{i:03}"): r for i, r in enumerate(made)}
+    want = {}
+    for a, r in latest.items():
+        for no, line in enumerate(r["body"].split("\n"), 1):
+            holders = [x for x in latest.values() if line in x["body"].split("\n")]
+            led = [x for x in holders if any(p == long and q == line for p, q in zip(x["body"].split("\n"), x["body"].split("\n")[1:]))]
+            titles = {x["title"].lower() for x in latest.values()} - {r["title"].lower()}
+            want[a, no] = (sum(x["source_id"] == r["source_id"] for x in holders), len(holders), line.lower() in titles, len(led) / len(holders))
+    df = articles(made)
+    texts = page_content.article_texts(df)
+    table = page_content._with_counts(page_content.latest_only(texts), page_content.line_counts(texts)).toArrow()
+    got = {}
+    for batch in table.combine_chunks().to_batches():
+        for r, kept, (_, _, _, own, everywhere, other, _, led, _) in page_content._pages(batch):
+            for i, k in enumerate(kept):
+                got[batch.column("article_id")[r].as_py(), k + 1] = (own[i], everywhere[i], other[i], led[i])
+    assert got == want and any(w[2] for w in want.values()) and any(0 < w[3] < 1 for w in want.values())
+
+
 # -- 4 -------------------------------------------------------------------------------------
 
 
