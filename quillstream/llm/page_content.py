@@ -43,8 +43,8 @@ BUCKETS = 1 << 13
 #: Characters from which a line counts as a paragraph where the places of lines are counted, and up to which a line's places are.
 PARAGRAPH = 60
 BRIEF = 140
-#: Characters over which a line that stands in at most three articles is a paragraph whatever its words.
-PLAIN = 150
+#: Different words of furniture from which a line is a notice however seldom it stands in articles, and the most words it may have for each.
+SEVERAL, APART = 3, 12
 EDGE_LIKE, EDGE_UNLIKE, EDGE_SECOND, MOST = 0.6, 0.15, 0.25, 9.0
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -95,12 +95,10 @@ def page_features(lines: list[str], title: str, source: str, own: np.ndarray, ev
     """
     n = len(lines)
     own, everywhere, other, tail, led, followed = (v.tolist() for v in (own, everywhere, other, tail, led, followed))
-    # A long line that stands in few articles is told by its length, place and neighbours; its words aren't looked at.
-    plain = [len(line) > PLAIN and own[i] <= 3 and not other[i] and not tail[i] for i, line in enumerate(lines)]
-    words = [[] if plain[i] else _WORD.findall(line.lower()) for i, line in enumerate(lines)]
+    words = [_WORD.findall(line.lower()) for line in lines]
     sentences = [_SENTENCE_END.search(line[-8:]) is not None for line in lines]
     labelled = [_LABELLED.match(line) is not None for line in lines]
-    rare_long = [(plain[i] or len(words[i]) >= 9) and own[i] < 8 and sentences[i] for i in range(n)]
+    rare_long = [len(words[i]) >= 9 and own[i] < 8 and sentences[i] for i in range(n)]
     whole = [i for i in range(n) if rare_long[i] and not other[i] and not labelled[i]]
     lo, hi = (whole[0], whole[-1]) if whole else (n, -1)
     title_words = _WORD.findall(title.lower())
@@ -115,23 +113,19 @@ def page_features(lines: list[str], title: str, source: str, own: np.ndarray, ev
         shown = line.strip()
         bullet = _BULLET.match(line) is not None
         between = 0 < i < n - 1 and lo < i < hi
-        if plain[i]:
-            k, digits = 99, 0
-            separated = stamp = said = rights = is_title = about = named = timed = spec = False
-            tokens.append([])
-        else:
-            k, letters = len(w), "".join(w)
-            is_title = joined != "" and letters.startswith(joined) and len(letters) <= len(joined) + 30
-            separated = len(_SEPARATED.findall(line)) + line.count(" / ") >= 2
-            stamp = k <= 4 and _STAMP.match(shown) is not None
-            said = FURNITURE.search(line) is not None
-            rights = _RIGHTS.search(line) is not None
-            about = not is_title and not subjects.isdisjoint(w)
-            named = names != "" and names in letters and not is_title
-            timed = k <= 6 and _TIME.search(line) is not None
-            digits = len(_DIGIT.findall(shown))
-            spec = separated and _FIGURE.search(line) is not None
-            tokens.append(sorted({_bucket(t) for t in w} | {_bucket("^" + w[0]), _bucket("$" + w[-1])}) if 0 < k <= 30 else [])
+        k, letters = len(w), "".join(w)
+        is_title = joined != "" and letters.startswith(joined) and len(letters) <= len(joined) + 30
+        separated = len(_SEPARATED.findall(line)) + line.count(" / ") >= 2
+        stamp = k <= 4 and _STAMP.match(shown) is not None
+        told = len({m.group().lower()[:5] for m in FURNITURE.finditer(line)})
+        said, notice = told > 0, told >= SEVERAL and k <= APART * told
+        rights = _RIGHTS.search(line) is not None
+        about = not is_title and not subjects.isdisjoint(w)
+        named = names != "" and names in letters and not is_title
+        timed = k <= 6 and _TIME.search(line) is not None
+        digits = len(_DIGIT.findall(shown))
+        spec = separated and _FIGURE.search(line) is not None
+        tokens.append(sorted({_bucket(t) for t in w} | {_bucket("^" + w[0]), _bucket("$" + w[-1])}) if k else [])
         pointer, points = other[i] and not is_title, tail[i] and not is_title
         short = about and k <= 6 and not other[i] and not tail[i]
         before, after = i > 0, i + 1 < n
@@ -140,7 +134,7 @@ def page_features(lines: list[str], title: str, source: str, own: np.ndarray, ev
             1, math.log1p(min(seen, 60)) / 2, seen >= 8, seen >= 3, math.log1p(min(everywhere[i], 400)) / 3, is_title, pointer, points, k <= 2, 3 <= k <= 5, 6 <= k <= 11, k >= 12,
             sentence, bullet, separated, rights, k == 0, stamp, timed, shown.isupper(), digits / max(1, len(shown)), labelled[i], about,
             i < lo, i > hi, i == 0, i == n - 1, before and own[i - 1] >= 8, after and own[i + 1] >= 8, before and rare_long[i - 1], after and rare_long[i + 1], prev_other, next_other,
-            between and k <= 5, ":" in shown, said and not (rare_long[i] and k >= 12 and seen <= 3), rare_long[i] and k >= 12, led[i], followed[i], named, spec, short,
+            between and k <= 5, ":" in shown, said and (notice or not (rare_long[i] and k >= 12 and seen <= 3)), rare_long[i] and k >= 12, led[i], followed[i], named, spec, short,
         ))
         # Labelling rules, the surest first.
         rule = -1
@@ -158,7 +152,7 @@ def page_features(lines: list[str], title: str, source: str, own: np.ndarray, ev
             rule = 1
         elif k <= 4 and not sentence and not said and everywhere[i] >= 8 and led[i] > 0.6 and followed[i] > 0.6 and not digits:
             rule = 0
-        elif said and (seen >= 4 or k <= 8) and not about:
+        elif said and (seen >= 4 or k <= 8 or notice) and not about:
             rule = 1
         elif k >= 6 and (seen >= 8 or (everywhere[i] >= 8 and k <= 14)):
             rule = 1

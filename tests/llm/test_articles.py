@@ -129,6 +129,20 @@ def test_counts_of_lines_are_those_of_brute_force(articles):
     assert got == want and any(w[2] for w in want.values()) and any(0 < w[3] < 1 for w in want.values())
 
 
+def test_a_long_notice_of_a_small_source_is_told_by_its_words(articles):
+    def talk(i):
+        return f"The {_word(i, 5)} of {_word(i, 6)} defended the {_word(i, 7)} plan before the council on Monday, and {_word(i, 8)} officials said that the {_word(i, 9)} works would go on until the {_word(i, 2)} bridge is finished."
+
+    often = "We and our partners store cookies on your device to measure how this site is used, and by going on you consent to our privacy terms, which you may change in your preferences at any time you like."
+    once = "Our partners store cookies to measure how you use this site, so please read the privacy terms and change your preferences on your device whenever you like, since going on means that you consent to our use of them."
+    made = [{"title": _title(i), "body": f"{_page(i)}\n{talk(i)}\n{often}"} for i in range(30)]
+    made += [{"title": _title((i, "few")), "source_id": "few", "body": f"{talk((i, 'a'))}\n{talk((i, 'b'))}\n{once}"} for i in range(2)]
+    labels = {(r["article_id"], r["line_no"]): r["furniture"] for r in page_content.label_lines(articles(made)).collect()}
+    assert len(once) > 150
+    for a in ("a030", "a031"):
+        assert [labels[a, n] for n in (1, 2, 3)] == [False, False, True]
+
+
 # -- 4 -------------------------------------------------------------------------------------
 
 
