@@ -50,14 +50,14 @@ def supported(words: Column, token: Column) -> Column:
     return (token != "") & F.exists(F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0))), lambda i: F.coalesce(at(i), F.lit(False)))
 
 
-def unsupported_entities(prose: DataFrame, sources: DataFrame) -> DataFrame:
-    """(article_id, field, token): checkable tokens of prose that the article's source text doesn't support.
+def unsupported_entities(prose: DataFrame, sources: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, article_id, field, token): checkable tokens of prose that the article's source text doesn't support.
 
-    prose: (article_id, field, text).  sources: (article_id, text).  A token counts
-    once per field, in the first spelling.
+    prose: (*by, article_id, field, text), where `by` tells texts about the same article
+    apart.  sources: (article_id, text).  A token counts once per field, in the first spelling.
     """
-    split = prose.select("article_id", "field", F.posexplode(F.split("text", r"(?U)\s+")).alias("at", "raw")).withColumn("token", trim_to_alphanumeric(F.col("raw")))
-    tokens = split.where((F.col("token") != "") & is_checkable(F.col("token"))).groupBy("article_id", "field", F.lower("token").alias("folded")).agg(F.min_by("token", F.struct("at", "token")).alias("token"))
+    split = prose.select(*by, "article_id", "field", F.posexplode(F.split("text", r"(?U)\s+")).alias("at", "raw")).withColumn("token", trim_to_alphanumeric(F.col("raw")))
+    tokens = split.where((F.col("token") != "") & is_checkable(F.col("token"))).groupBy(*by, "article_id", "field", F.lower("token").alias("folded")).agg(F.min_by("token", F.struct("at", "token")).alias("token"))
     words = sources.select("article_id", source_words(F.col("text")).alias("words"))
     checked = tokens.join(words, "article_id").where(~supported(F.col("words"), comparable(F.col("token"))))
-    return checked.select("article_id", "field", "token")
+    return checked.select(*by, "article_id", "field", "token")

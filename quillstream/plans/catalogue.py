@@ -405,9 +405,12 @@ def known_links(spark, sf):
 
 @query()
 def entity_violations(spark, sf):
-    prose = T.assessments(spark, sf).where("article_id IS NOT NULL AND summary IS NOT NULL").groupBy("article_id").agg(F.max_by("summary", F.struct("created_at", "cache_key")).alias("text"))
-    sources = T.articles(spark, sf, text=True).where("text IS NOT NULL").select("article_id", F.concat_ws("\n", "title", "text").alias("text"))
-    return fidelity.unsupported_entities(prose.withColumn("field", F.lit("summary")), sources)
+    """Summary and key facts of every assessment against source name, title and text of its article."""
+    fields = F.array(F.struct(F.lit("summary").alias("field"), F.col("summary").alias("text")), F.struct(F.lit("key_facts").alias("field"), F.array_join("key_facts", "\n").alias("text")))
+    prose = T.assessments(spark, sf).where("article_id IS NOT NULL").select("cache_key", "article_id", F.inline(fields)).where("text IS NOT NULL")
+    names = T.table(spark, sf, "sources").select(F.col("id").alias("source_id"), "name")
+    sources = T.articles(spark, sf, text=True).where("text IS NOT NULL").join(names, "source_id", "left").select("article_id", F.concat_ws("\n", "name", "title", "text").alias("text"))
+    return fidelity.unsupported_entities(prose, sources, by=("cache_key",))
 
 
 # -- dimension queries ----------------------------------------------------------------------------

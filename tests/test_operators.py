@@ -115,6 +115,24 @@ def test_names_the_source_never_mentions(spark):
     assert sorted(r["token"] for r in fidelity.unsupported_entities(prose, source).collect()) == ["GPT-5", "iPhone"]
 
 
+def test_every_assessment_is_checked_in_summary_and_key_facts(spark, tmp_path):
+    import json
+
+    from quillstream.plans import catalogue
+
+    def said(summary, facts):
+        return json.dumps({"assessment": {"summary": summary, "key_facts": facts}})
+
+    made = [("k1", "a", T0, said("GPT-9 is out", None)), ("k2", "a", T0 + timedelta(days=1), said("Fine", ["By OpenNews", "iPhone and iPhone", "GPT-4"])), ("k3", None, T0, said("GPT-9", None))]
+    schema = "cache_key string, article_id string, created_at timestamp, payload string, content_hash string, model string, prompt_version string, schema_version string"
+    spark.createDataFrame([(*r, None, None, None, None) for r in made], schema).write.parquet(f"{tmp_path}/assessments.parquet")
+    article = ("a", "s", "u", "GPT-4", T0, "h", T0, T0, json.dumps({"clean_text": "A phone"}))
+    spark.createDataFrame([article], "article_id string, source_id string, canonical_url string, title string, published_at timestamp, content_hash string, retrieved_at timestamp, first_seen_at timestamp, payload string").write.parquet(f"{tmp_path}/articles.parquet")
+    spark.createDataFrame([("s", "OpenNews")], "id string, name string").write.parquet(f"{tmp_path}/sources.parquet")
+    got = catalogue.entity_violations(spark, str(tmp_path)).select("cache_key", "article_id", "field", "token").collect()
+    assert sorted(tuple(r) for r in got) == [("k1", "a", "summary", "GPT-9"), ("k2", "a", "key_facts", "iPhone")]
+
+
 def test_suppression_prefers_the_identifier(spark):
     items = spark.createDataFrame([("a", "h", "W2", "W2", "e2", 1), ("a", "h", "W1", "W1", "e1", 5), ("b", None, "W3", None, "e0", 1)], "article_id string, content_hash string, issue string, generated_at string, edition_id string, position int")
     by_id, by_hash = pool.published_keys(items)
