@@ -1,19 +1,21 @@
 """Problem 2: new batches checked against everything accepted, without reading the history's texts again.
 
 The named fingerprints (64 bits whose difference grows with the texts' difference,
-in rotated block tables) were measured on this data: of the pairs that share half
-of their word triples they hold 17 % within 3 bits and 51 % within 10, so no
-number of block tables gives the required result.  This operator keeps the
-rest of the method -- stored block tables, exact block matches, verification of the
-text, appended entries -- and stores instead of bit blocks the elements of each
-text's prefix in a fixed order (see near_duplicates.py), which misses nothing.
-
-The store is a folder of two append-only tables, `keys` (identifiers, hashes
-and comparison keys of URLs of accepted records) and `sets` (the elements of
-each class of accepted texts, rare ones first), and the order of elements, frozen
-when the store is made.  A batch is checked by joins with these tables: of the stored
-prefixes only elements that may stand in the batch (by a summary of the batch)
-are shuffled.  Only accepted records are appended.
+in rotated block tables) were measured on this data and don't give the required result (figures in
+the README).  This operator keeps the rest of the method -- stored block tables, exact
+block matches, verification of the text, appended entries -- and stores instead of bit
+blocks the elements of each text's prefix in a fixed order (see near_duplicates.py),
+which misses nothing.
+
+The store is a folder with three append-only tables and the order of elements, frozen when
+the store is made:
+`blocks`: packed entries of prefixes, bucketed by the range of their key: a check shuffles the batch's entries only and meets each bucket where it lies;
+`keys`: 128-bit hashes of identifiers, content hashes and comparison keys of URLs, bucketed likewise;
+`sets`: the packed set of each accepted class of texts, of which a check reads those that candidates name.
+
+Whatever is appended carries the number of its attempt, and becomes part of the store
+when the attempt's marker is written, as the last step.  An attempt that broke off is never read, and a
+batch that is accepted again under the same name changes nothing.
 
 Defined cases: a null or empty article_id, content_hash, URL or text agrees with
 nothing; a URL that isn't absolute http(s) has no key; payloads that don't parse have
@@ -24,42 +26,47 @@ an identifier that several records share is settled for all of them by the first
 from __future__ import annotations
 
 import pickle
+import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstream.functions.urls import dedupe_key
 from quillstream.llm import near_duplicates as near
+from quillstream.llm import packed as P
 from quillstream.llm.common import payload_text
-from quillstream.llm.sketch import Summary, cells_for, summarize
 from quillstream.operators.greedy import greedy_keep
-from quillstream.runtime import broadcast_if_small, materialize, scratch_path
+from quillstream.runtime import materialize, scratch_path
 
+#: Files that a bucketed table is cut into per append: one for about so many elements.
+PER_FILE, MOST_FILES = 1 << 22, 4096
+_PART = 8 << 20
 
-def _text_key() -> F.Column:
-    return F.concat(F.lit("t:"), F.col("class_id").cast("string")).alias("key")
+
+def _key_hash(text) -> F.Column:
+    return F.unhex(F.substring(F.sha2(text, 256), 1, 32))
 
 
 def _identity_keys(rows: DataFrame) -> DataFrame:
-    """(id, key): one row per way in which records can agree exactly, texts aside."""
+    """(id, key): one row per way in which records can agree exactly, texts aside; key is a 128-bit hash."""
 
     def tagged(tag: str, value) -> F.Column:
-        return F.when(value != "", F.concat(F.lit(tag), value))
+        return F.when(value != "", _key_hash(F.concat(F.lit(tag), value)))
 
     each = F.array(tagged("a:", F.col("article_id")), tagged("h:", F.lower("content_hash")), tagged("u:", dedupe_key(F.col("canonical_url"))))
     return rows.select("id", F.explode(each).alias("key")).where("key IS NOT NULL")
 
 
 def _texts(rows: DataFrame) -> DataFrame:
-    """(id, text): title, line feed and text of the rows that have a text."""
+    """(id, text, stamp): title, line feed and text of the rows that have a text."""
     found = rows.select("id", F.coalesce("title", F.lit("")).alias("title"), payload_text(F.col("payload")).alias("text")).where("text IS NOT NULL")
-    return found.select("id", F.concat("title", F.lit("\n"), "text").alias("text"))
+    return found.select("id", F.concat("title", F.lit("\n"), "text").alias("text"), F.lit(0).alias("stamp"))
 
 
-def _classes(texts: DataFrame, words: int) -> DataFrame:
-    stamped = texts.withColumn("stamp", F.lit(0))
-    return near.text_classes(stamped).where(f"n_words >= {words}").select("id", "class_id")
+_FIELDS = ("article_id", "content_hash", "canonical_url", "title", "payload")
 
 
 class History:
@@ -67,7 +74,8 @@ class History:
 
     def __init__(self, spark: SparkSession, path: str, t: float = near.SIMILARITY, words: int = near.WORDS):
         self.spark, self.path, self.t, self.words = spark, path.rstrip("/"), t, words
-        self._order, self._light = None, 0
+        self._order = None
+        self._files = 0
 
     # -- making and extending ----------------------------------------------------
 
@@ -76,90 +84,170 @@ class History:
         """Index all rows of a table of accepted articles and freeze the order of elements."""
         spark = accepted.sparkSession
         store = cls(spark, path, t, words)
-        rows = accepted.select(F.xxhash64("article_id", "payload").alias("id"), "article_id", "content_hash", "canonical_url", "title", "payload")
-        texts = _texts(rows)
-        n = rows.count()
-        order = near.frequency_summary(texts, n, words)
-        data = pickle.dumps((order.table, order.depth, near.light_boundary(order, t)))
-        spark.createDataFrame([(i, data[i * (8 << 20) : (i + 1) * (8 << 20)]) for i in range(-(-len(data) // (8 << 20)))], "no int, part binary").coalesce(1).write.parquet(f"{store.path}/order")
-        store._order, store._light = spark.sparkContext.broadcast(order), near.light_boundary(order, t)
-        store._append(rows, texts)
+        rows = accepted.select(F.xxhash64("article_id", "payload").alias("id"), *_FIELDS)
+        attempt = store._attempt()
+        store._add_sets(near.class_sets(_texts(rows), words).where("data IS NOT NULL"), attempt)
+        sets = store._sets(attempt)
+        order = near.element_order(sets, t, alone=False)
+        total = P.total_of(sets, "size")[1]
+        store._files = int(min(MOST_FILES, max(8, 1 << (total // PER_FILE).bit_length())))
+        data = pickle.dumps((order, store._files))
+        spark.createDataFrame([(i, data[i * _PART : (i + 1) * _PART]) for i in range(-(-len(data) // _PART))], "no int, part binary").coalesce(1).write.mode("overwrite").parquet(f"{store.path}/order")
+        store._order = spark.sparkContext.broadcast(order)
+        store._add_blocks(sets, attempt)
+        store._add_keys(rows, attempt)
+        store._commit("", attempt)
         return store
 
-    def _append(self, rows: DataFrame, texts: DataFrame) -> None:
-        near.ranked_sets(texts, self.order, self.words).write.mode("append").parquet(f"{self.path}/sets")
-        _identity_keys(rows).select("key").distinct().write.mode("append").parquet(f"{self.path}/keys")
+    def _attempt(self) -> str:
+        return uuid.uuid4().hex
+
+    def _add_sets(self, sets: DataFrame, attempt: str) -> None:
+        sets.select(F.lit(attempt).alias("attempt"), "class_id", "size", "data").write.mode("append").option("compression", "zstd").parquet(f"{self.path}/sets")
+
+    def _add_blocks(self, sets: DataFrame, attempt: str) -> None:
+        self._insert("blocks", near.packed_entries(sets, self.order, self.t).select(F.lit(attempt).alias("attempt"), "bucket", "data"), "bucket")
+
+    def _add_keys(self, rows: DataFrame, attempt: str) -> None:
+        self._insert("keys", _identity_keys(rows).select(F.lit(attempt).alias("attempt"), "key").distinct(), "key")
 
-    def append(self, accepted: DataFrame) -> None:
-        """Add accepted records (the columns of a batch) to the store."""
-        rows = accepted.select(F.xxhash64("article_id", "payload").alias("id"), "article_id", "content_hash", "canonical_url", "title", "payload")
-        self._append(rows, _texts(rows))
+    def _commit(self, batch: str, attempt: str) -> None:
+        """The single step that makes an attempt part of the store."""
+        self.spark.createDataFrame([(batch, attempt)], "batch string, attempt string").coalesce(1).write.mode("append").parquet(f"{self.path}/commits")
 
-    def accept(self, batch: DataFrame) -> DataFrame:
-        """Check a batch, append its new records, and return (record_id, held) of all of them."""
+    def append(self, accepted: DataFrame, batch: str | None = None) -> None:
+        """Add accepted records (the columns of a batch) to the store, at most once for each name of a batch."""
+        if batch is not None and batch in self._commits()["batch"]:
+            return
+        rows = accepted.select(F.xxhash64("article_id", "payload").alias("id"), *_FIELDS)
+        attempt = self._attempt()
+        self._add_sets(near.class_sets(_texts(rows), self.words).where("data IS NOT NULL"), attempt)
+        self._add_blocks(self._sets(attempt), attempt)
+        self._add_keys(rows, attempt)
+        self._commit(batch or attempt, attempt)
+
+    def accept(self, batch: DataFrame, name: str | None = None) -> DataFrame:
+        """Check a batch, append its new records, and return (record_id, held) of all of them.
+
+        With a name, a batch that was appended before is not appended again; what is
+        returned for it then comes from the store, so that all its records are held.
+        """
         result = materialize(self.check(batch), "p2-result")
         new = batch.join(result.where("NOT held"), "record_id", "left_semi")
-        self.append(new)
+        self.append(new, name)
         return result
 
+    # -- the tables ---------------------------------------------------------------------
+
+    def _commits(self) -> dict[str, set[str]]:
+        """Names of batches and numbers of attempts that are part of the store; one row per batch ever accepted."""
+        try:
+            rows = self.spark.read.schema("batch string, attempt string").parquet(f"{self.path}/commits").collect()
+        except Exception as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            rows = []
+        return {"batch": {r["batch"] for r in rows}, "attempt": {r["attempt"] for r in rows}}
+
+    def _committed(self, df: DataFrame, attempt: str | None = None) -> DataFrame:
+        if attempt is not None:
+            return df.where(F.col("attempt") == attempt).drop("attempt")
+        return df.where(F.col("attempt").isin(sorted(self._commits()["attempt"]))).drop("attempt")
+
+    def _sets(self, attempt: str | None = None) -> DataFrame:
+        return self._committed(self.spark.read.schema("attempt string, class_id bigint, size int, data binary").parquet(f"{self.path}/sets"), attempt)
+
+    def _bucketed(self, name: str) -> str:
+        """The name in the catalog of a bucketed table of this folder, made known if need be."""
+        columns, by = {"blocks": ("bucket INT, data BINARY", "bucket"), "keys": ("key BINARY", "key")}[name]
+        self.order  # reads the number of files
+        table = f"quillstream_{name}_{uuid.uuid5(uuid.NAMESPACE_URL, self.path).hex}"
+        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {table} (attempt STRING, {columns}) USING parquet CLUSTERED BY ({by}) INTO {self._files} BUCKETS LOCATION '{self.path}/{name}'")
+        return table
+
+    def _insert(self, name: str, rows: DataFrame, by: str) -> None:
+        table = self._bucketed(name)
+        rows.repartition(self._files, by).write.insertInto(table)
+
+    def _table(self, name: str) -> DataFrame:
+        table = self._bucketed(name)
+        self.spark.catalog.refreshTable(table)
+        return self._committed(self.spark.table(table))
+
     @property
     def order(self):
         if self._order is None:
             parts = self.spark.read.parquet(f"{self.path}/order").orderBy("no").collect()
-            table, depth, self._light = pickle.loads(b"".join(bytes(r["part"]) for r in parts))
-            self._order = self.spark.sparkContext.broadcast(Summary(table, depth))
+            order, self._files = pickle.loads(b"".join(bytes(r["part"]) for r in parts))
+            self._order = self.spark.sparkContext.broadcast(order)
         return self._order
 
-    @property
-    def light(self) -> int:
-        self.order  # read from the store if need be
-        return self._light
-
     # -- checking ------------------------------------------------------------------
 
     def check(self, batch: DataFrame) -> DataFrame:
         """(record_id, held) for every record, taken in the order batch_no, record_id."""
         order = self.order
-        rows = batch.where("record_id IS NOT NULL").select(F.col("record_id").alias("id"), "batch_no", "article_id", "content_hash", "canonical_url", "title", "payload")
-        texts = _texts(rows)
-        classes = materialize(_classes(texts, self.words), "p2-classes")
-        keys = materialize(_identity_keys(rows).unionByName(classes.select("id", _text_key())), "p2-keys")
-        stored = self.spark.read.schema("class_id bigint").parquet(f"{self.path}/sets")
-        known = self.spark.read.schema("key string").parquet(f"{self.path}/keys").unionByName(stored.select(_text_key()))
-        held = keys.join(known, "key", "left_semi").select("id").distinct()
-        # Near agreement: new against old and new against new.
-        sets = materialize(near.ranked_sets(texts, order, self.words), "p2-sets")
-        alike = materialize(self._alike(sets), "p2-alike")
-        by_text = materialize(alike.where("old").select(F.col("b").alias("class_id")).distinct(), "p2-by-text")
-        held = materialize(held.union(classes.join(broadcast_if_small(by_text, 16), "class_id", "left_semi").select("id")).distinct(), "p2-held")
+        rows = batch.where("record_id IS NOT NULL").select(F.col("record_id").alias("id"), "batch_no", *_FIELDS)
+        texts = materialize(near.class_sets(_texts(rows), self.words), "p2-texts")
+        classes = texts.where("size > 0").select("id", "class_id")
+        sets = texts.where("data IS NOT NULL").select("class_id", "size", "data")
+        keys = materialize(_identity_keys(rows), "p2-keys")
+        held = keys.join(self._table("keys").select("key"), "key", "left_semi").select("id")
+        # Near agreement: new against old and new against new.  Copies of an old text meet it as themselves.
+        short = materialize(self._meet(sets), "p2-candidates")
+        mine = materialize(classes.select("class_id").distinct(), "p2-classes")
+        stored = self._sets()
+        old_classes = stored.select("class_id").distinct()
+        old_pairs = materialize(near.full_pairs(short.where("old").select("a", "b"), old_classes, mine, order.value, within=False), "p2-old-pairs")
+        new_pairs = materialize(near.full_pairs(short.where("NOT old").select("a", "b"), mine, mine, order.value), "p2-new-pairs")
+        near_old = old_pairs.where("ca <> cb")
+        theirs = materialize(near.named_sets(stored, near_old.select(F.col("ca").alias("class_id"))), "p2-old-sets")
+        ends = near_old.select(F.col("cb").alias("class_id")).union(new_pairs.select("ca")).union(new_pairs.select("cb"))
+        own = materialize(near.named_sets(sets, ends), "p2-new-sets")
+        found = near.verify_pairs(near_old, theirs, own, self.t).select(F.col("b").alias("class_id"))
+        by_text = classes.join(found.union(old_pairs.where("ca = cb").select("cb")).distinct(), "class_id", "left_semi").select("id")
+        held = materialize(held.union(by_text).distinct(), "p2-held")
+        alike_new = near.verify_pairs(new_pairs, own, own, self.t)
         undecided = rows.select("id", F.struct("batch_no", "id").alias("rank")).groupBy("id").agg(F.min("rank").alias("rank")).join(held, "id", "left_anti")
         # Copies conflict by the key of their class; a pair of classes conflicts through all its members.
         members = classes.join(held, "id", "left_anti")
         one = members.select(F.col("class_id").alias("ca"), F.col("id").alias("a"))
         two = members.select(F.col("class_id").alias("cb"), F.col("id").alias("b"))
-        pairs = alike.where("NOT old").select(F.col("a").alias("ca"), F.col("b").alias("cb")).join(one, "ca").join(two, "cb").select("a", "b")
-        decided = greedy_keep(undecided, keys.join(held, "id", "left_anti"), pairs)
+        links = alike_new.select(F.col("a").alias("ca"), F.col("b").alias("cb")).join(one, "ca").join(two, "cb").select("a", "b")
+        every = keys.select("id", F.hex("key").alias("key")).unionByName(members.select("id", F.concat(F.lit("t:"), F.col("class_id").cast("string")).alias("key")))
+        decided = greedy_keep(undecided, every.join(held, "id", "left_anti"), links)
         return decided.select(F.col("id").alias("record_id"), (~F.col("kept")).alias("held")).unionByName(held.select(F.col("id").alias("record_id"), F.lit(True).alias("held")))
 
-    def _alike(self, sets: DataFrame) -> DataFrame:
-        """(a, b, old): alike classes, b of the batch, a of the history if old and else of the batch."""
-        stored = self.spark.read.schema(sets.schema).parquet(f"{self.path}/sets")
-        fresh = near.entries_of_sets(sets, self.light, self.t)
-        cells = cells_for(sets.count(), 120)
-        among = summarize(fresh.select("key"), lambda b: b.column("key").to_numpy().view(np.uint64), cells)
-        old_entries = near.entries_of_sets(stored, self.light, self.t, self.spark.sparkContext.broadcast(among))
-        old = near.candidate_pairs(old_entries, self.light, self.t, other=fresh).select("a", "b", F.lit(True).alias("old"))
-        new = near.candidate_pairs(fresh, self.light, self.t).select("a", "b", F.lit(False).alias("old"))
-        pairs = materialize(old.unionByName(new), "p2-candidates")
-        # Only the sets of classes in candidates are shuffled for the exact overlap.
-        ends = materialize(pairs.where("old").select(F.col("a").alias("class_id")).distinct(), "p2-old-ends")
-        fresh_ends = materialize(pairs.select(F.col("b").alias("class_id")).union(pairs.where("NOT old").select("a")).distinct(), "p2-new-ends")
-        mine = sets.join(broadcast_if_small(fresh_ends, 16), "class_id", "left_semi").dropDuplicates(["class_id"])
-        theirs = stored.join(broadcast_if_small(ends, 16), "class_id", "left_semi").dropDuplicates(["class_id"])
-        left = mine.withColumn("old", F.lit(False)).unionByName(theirs.withColumn("old", F.lit(True))).select(F.col("class_id").alias("a"), "old", F.col("keys").alias("ka"))
-        right = mine.select(F.col("class_id").alias("b"), F.col("keys").alias("kb"))
-        scored = pairs.join(left, ["a", "old"]).join(right, "b").select("a", "b", "old", F.size(F.array_intersect("ka", "kb")).alias("common"), (F.size("ka") + F.size("kb")).alias("total"))
-        return scored.where(F.col("common") * (1 + self.t) >= F.col("total") * self.t - 1e-9).select("a", "b", "old")
+    def _meet(self, sets: DataFrame) -> DataFrame:
+        """(a, b, old), short identifiers: candidates b of the batch, and a of the history if old and else of the batch."""
+        order, t = self.order, self.t
+        # A history's entry must meet the batch's, whatever it has met before, so that single elements stay.
+        fresh = near.packed_entries(sets, order, t)
+
+        def per_bucket(key: tuple, stored: Iterator[pa.RecordBatch], new: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            y = near._tidy(P.joined(P.blobs_of(new), 4))
+            if not len(y[0]):
+                return
+            for old, x in ((True, near._tidy(P.joined(P.blobs_of(stored), 4))), (False, None)):
+                met = near._meetings(y, x, order.value, t) if old else near._meetings(y, None, order.value, t)
+                for out in near.scatter_meetings(met, order.value):
+                    yield pa.RecordBatch.from_arrays([out.column("bucket"), out.column("data"), pa.array(np.full(out.num_rows, old))], ["bucket", "data", "old"])
+
+        met = self._table("blocks").groupBy("bucket").cogroup(fresh.groupBy("bucket")).applyInArrow(_tables(per_bucket), f"{P.SCHEMA}, old boolean")
+        met = materialize(met, "p2-met")
+        old = near.gather_pairs(met.where("old").drop("old"), order).select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit(True).alias("old"))
+        return old.unionByName(near.gather_pairs(met.where("NOT old").drop("old"), order).withColumn("old", F.lit(False)))
+
+
+def _tables(per_bucket):
+    """The function of a bucket in the form that a cogroup takes: both sides as tables of packed rows."""
+
+    def both(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        out = list(per_bucket(key, left.to_batches(), right.to_batches()))
+        schema = pa.schema([("bucket", pa.int32()), ("data", pa.binary()), ("old", pa.bool_())])
+        return pa.Table.from_batches(out, schema)
+
+    return both
 
 
 def held_records(articles: DataFrame, incoming: DataFrame, path: str | None = None) -> DataFrame:

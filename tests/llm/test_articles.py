@@ -5,7 +5,7 @@ import re
 
 import numpy as np
 
-from quillstream.llm import history, near_duplicates, page_content, repeated_lines
+from quillstream.llm import history, near_duplicates, packed, page_content, repeated_lines
 from tests.llm.conftest import payload
 
 WORD = re.compile(r"[^\W_]+")
@@ -156,16 +156,28 @@ def test_alike_pairs_are_those_of_brute_force(articles, texts):
 
 
 def test_light_and_heavy_routes_agree(articles, texts):
-    df = articles([{"body": b} for b in texts(60, words=12, edits=1, seed=4)])
-    import quillstream.llm.near_duplicates as n
-
-    frame = n.text_frame(df)
-    order = df.sparkSession.sparkContext.broadcast(n.frequency_summary(frame, 60))
-    sets = n.ranked_sets(frame, order)
-    found = [{tuple(r) for r in n.verify_pairs(n.candidate_pairs(n.prefix_entries(frame, order, light), light), sets).select("a", "b").collect()} for light in (0, 5, 1000)]
+    frame = near_duplicates.text_frame(articles([{"body": b} for b in texts(60, words=12, edits=1, seed=4)]))
+    found = [{tuple(r) for r in near_duplicates.alike_classes(frame, light=light)[1].select("a", "b").collect()} for light in (0, 5, 1000)]
     assert found[0] == found[1] == found[2] and found[0]
 
 
+def test_rows_do_not_depend_on_the_bound_of_the_order(articles, texts):
+    frame = near_duplicates.text_frame(articles([{"body": b} for b in texts(90, seed=21)]))
+    # 2 ** 13 bits hold far fewer elements than stand in two texts, as a far larger input would have it.
+    found = [{tuple(r) for r in near_duplicates.alike_classes(frame, bits=bits)[1].select("a", "b", "common").collect()} for bits in (1 << 13, None)]
+    assert found[0] == found[1] and found[0]
+
+
+def test_packed_columns_and_sets_come_back():
+    rnd = np.random.default_rng(2)
+    key, value = np.sort(rnd.integers(0, 1 << 40, 999).astype(np.uint64)), rnd.integers(0, 300, 999).astype(np.uint64)
+    assert all((a == b).all() for a, b in zip(packed.unpack(packed.pack(key, value)), (key, value)))
+    size = np.array([0, 3, 0, 5, 1, 0])
+    h = np.concatenate([np.sort(rnd.integers(0, 1 << 48, n).astype(np.uint64)) for n in size])
+    row, got, n = packed.unpack_sets(packed.pack_sets(h, size).slice(2, 3))
+    assert (got == h[3:]).all() and n.tolist() == [0, 5, 1] and row.tolist() == [1] * 5 + [2]
+
+
 def test_groups_report_copies_and_links(articles):
     body = " ".join(f"w{i}" for i in range(40))
     got = {r["article_id"]: (r["copies"], r["links"]) for r in near_duplicates.alike_groups(articles([{"body": body}, {"body": body.upper()}, {"body": body + " more"}, {"body": "z " * 9}])).collect()}
@@ -218,6 +230,19 @@ def test_batches_in_turn_agree_with_all_at_once(spark, articles, texts, tmp_path
     assert turns == once and set(once.values()) == {True, False}
 
 
+def test_a_batch_is_appended_once_and_a_broken_attempt_is_never_read(spark, articles, texts, tmp_path):
+    bodies = texts(30, seed=13)
+    store = history.History.create(articles([{"body": b} for b in bodies[:5]]), f"file://{tmp_path}/once")
+    batch = _records(spark, [{"record_id": 1, "article_id": "n1", "body": "a b c d e f"}])
+    broken = batch.selectExpr("record_id AS id", "article_id", "content_hash", "canonical_url", "title", "payload")
+    store._add_keys(broken, store._attempt())  # no commit follows
+    assert rows(store.check(batch)) == [(1, False)]
+    store.append(batch, "first")
+    store.append(_records(spark, [{"record_id": 2, "article_id": "n2", "body": "g h i j k l"}]), "first")
+    assert rows(store.check(batch)) == [(1, True)]
+    assert rows(store.check(_records(spark, [{"record_id": 3, "article_id": "n2"}]))) == [(3, False)]
+
+
 def test_records_without_anything_and_empty_tables(spark, articles):
     new = [{"record_id": 1}, {"record_id": 2}, {"record_id": 3, "url": "not a url"}, {"record_id": 4, "url": "not a url", "payload": "{"}]
     assert rows(history.held_records(articles([]), _records(spark, new))) == [(i, False) for i in (1, 2, 3, 4)]
