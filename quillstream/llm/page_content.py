@@ -4,7 +4,10 @@ Method: minimum-cut labelling.  A classifier gives every line a cost of being
 story and a cost of being furniture; these are the terminal capacities.  Smoothness
 edges join neighbouring lines, and lines one apart, the stronger the more they are
 alike in shape (the text keeps no markup, so place and shape stand for the place in
-the document's tree).  The maximum flow of each page separates the two.
+the document's tree).  The maximum flow of each page separates the two.  Capacities of
+edges are stated, not fitted: a fit by pseudo-likelihood to the lines that rules label
+gives zero, as these are the lines whose own features tell.  Three kinds of lines have
+their terminal capacity by definition: the headline and list lines, the story's, and bare dates, the page's.
 
 The classifier is a logistic regression trained here.  No labels come with the data,
 so labelling rules name the lines they are sure of on a bounded sample of pages
@@ -37,12 +40,11 @@ from quillstream.llm.common import article_texts, latest_only
 from quillstream.llm.repeated_lines import line_letters
 from quillstream.runtime import materialize
 
-#: Pages the classifier is trained on; hashed word weights; capacities of edges and their upper bound at terminals.
-SAMPLE = 4000
+#: Pages the classifier is trained on, and characters that such a page may have (so that the sample is bounded in bytes too); hashed word weights; capacities of edges and their upper bound at terminals.
+SAMPLE, SAMPLE_CHARS = 4000, 50_000
 BUCKETS = 1 << 13
-#: Characters from which a line counts as a paragraph where the places of lines are counted, and up to which a line's places are.
+#: Characters from which a line counts as a paragraph where the places of lines are counted.
 PARAGRAPH = 60
-BRIEF = 140
 #: Different words of furniture from which a line is a notice however seldom it stands in articles, and the most words it may have for each.
 SEVERAL, APART = 3, 12
 EDGE_LIKE, EDGE_UNLIKE, EDGE_SECOND, MOST = 0.6, 0.15, 0.25, 9.0
@@ -51,30 +53,32 @@ _WORD = re.compile(r"[^\W\d_]+")
 _SEPARATED = re.compile(r"\s[|•·/›»>]\s")
 _STAMP = re.compile(r"^\W*(\d{4}-\d{2}-\d{2}|\d{1,2}[./]\d{1,2}[./]\d{2,4})([T ,]*(at|a las)?\s*\d{1,2}:\d{2}.*)?\W*$", re.I)
 _TIME = re.compile(r"\b\d{1,2}:\d{2}\b|\b\d{4}-\d{2}-\d{2}\b|\b\d{1,2}\.\d{1,2}\.\d{4}\b")
-_DIGIT = re.compile(r"\d")
 _BULLET = re.compile(r"^\s*[-–—•*]\s")
 _SENTENCE_END = re.compile(r"[.!?…][\"'”’»)]*\s*$")
 _LABELLED = re.compile(r"^\s*(\d+[.)]\s+)?\w+: [A-ZÁÉÍÓÚÑÀÈÇ\"“«]")
 _FIGURE = re.compile(r"[|:]\s*[\d.,]+\s*[%€$]?\s*$")
-_RIGHTS = re.compile(r"©|^\s*\(c\)|copyright", re.I)
-# Words that page furniture uses in English, Spanish and French.
-FURNITURE = re.compile(
-    r"\b(cookies?|privacy|privacidad|confidentialité|preferences|preferencias|consent|partners store|socios|subscribe|suscr\w+|newsletter|inbox|sign up|sign in|log in|"
-    r"acceder|iniciar sesión|skip to|saltar al|menu|menú|share this|comparte|compartir|partager|copy link|print|imprimir|\d+ (comments?|comentarios?|shares?)|"
-    r"join the discussion|advert\w*|anuncio|publicidad|publicité|sponsor\w*|patrocin\w*|all rights|derechos|reproduc\w+|copyright|terms|aviso legal|legal notice|imprint|"
-    r"most read|más leíd\w+|trending|related|relacionad\w+|read more|see also|lee también|lea también|más en|latest stories|últimas n\w+|more from|gift|save for later|guardar para|"
-    r"listen to|min read|updated|actualizad\w+|published (at|on|by|\d)|publicad\w+ (el|por)|words by|staff writer|redacción|accept all|accept and|aceptar|reject|rechazar|"
-    r"tickets for|on sale now|vote in|download the|presented by|supported by|continues below|continúa después|is published by|es una publicación|was used in this|enjoyed this|pass it on|about this column)\b",
-    re.I,
-)
+# Words for the parts and functions of any web page in English, Spanish and French, after the kinds of class names that published
+# content extractors (Readability, boilerpipe) look for: consent, accounts, sharing, adverts, lists of stories, notices.
+FURNITURE = frozenset((
+    "cookie", "cookies", "consent", "consentimiento", "consentement", "privacy", "privacidad", "confidentialité", "preferences", "preferencias", "préférences", "gdpr",
+    "login", "logout", "signup", "subscribe", "suscríbete", "suscribirse", "abonnez", "newsletter", "newsletters", "boletín", "inbox", "menu", "menú", "sitemap", "sidebar", "footer",
+    "share", "comparte", "compartir", "partager", "print", "imprimir", "imprimer", "email", "comments", "comentarios", "commentaires", "facebook", "twitter", "whatsapp",
+    "advertisement", "advertising", "publicidad", "publicité", "anuncio", "anuncios", "sponsored", "patrocinado", "sponsorisé", "copyright", "reserved", "reservados", "réservés", "imprint", "legal",
+    "related", "relacionado", "relacionados", "relacionadas", "trending", "updated", "actualizado", "redacción", "rédaction",
+))
+#: A name after a preposition and nothing else: by whom the story is.
+_BYLINE = re.compile(r"^\W*(?:\w+ )?(?:by|por|par)(?: (?-i:[A-ZÁÉÍÓÚÑÀÈÇ])[\w’'.-]+){1,4}\W*$", re.I)
+#: Share of a source's pages from which a line is the page's, and under which a short line within stories may be a subheading.
+OFTEN, SELDOM = 1 / 5, 1 / 6
 
 DENSE = [
     "bias", "own", "own8", "own3", "everywhere", "title", "other_title", "tail_title", "words2", "words5", "words11", "words12",
     "sentence", "bullet", "separated", "rights", "no_letters", "stamp", "time", "capitals", "digits", "labelled", "subject",
-    "before", "after", "first", "last", "prev_own", "next_own", "prev_long", "next_long", "prev_other", "next_other", "between", "colon", "furniture_word", "long_rare", "led", "followed", "names_source", "spec", "subject_short",
+    "before", "after", "first", "last", "byline", "often", "often_twice", "share", "prev_other", "next_other", "between", "colon", "furniture_word", "long_rare", "led", "followed", "names_source", "spec", "subject_short",
 ]
 _COL = {name: i for i, name in enumerate(DENSE)}
 _cache: dict[str, int] = {}
+_NO_DIGITS = {ord(c): None for c in "0123456789"}
 
 
 def _bucket(token: str) -> int:
@@ -86,12 +90,13 @@ def _bucket(token: str) -> int:
     return i
 
 
-def page_features(lines: list[str], title: str, source: str, own: np.ndarray, everywhere: np.ndarray, other: np.ndarray, tail: np.ndarray, led: np.ndarray, followed: np.ndarray):
+def page_features(lines: list[str], title: str, source: str, own: np.ndarray, everywhere: np.ndarray, other: np.ndarray, tail: np.ndarray, led: np.ndarray, followed: np.ndarray, pages: int, rules_too: bool = True):
     """Dense features (lines x DENSE), hashed words per line, and what the labelling rules say (1 furniture, 0 story, -1 nothing).
 
     own, everywhere: articles of the source, and of all, with the line.  other,
     tail: whether the line, or what follows its first colon, is another article's title.
     led, followed: the share of all its places where a paragraph stands before, or after it.
+    pages: articles of the source.
     """
     n = len(lines)
     own, everywhere, other, tail, led, followed = (v.tolist() for v in (own, everywhere, other, tail, led, followed))
@@ -117,13 +122,15 @@ def page_features(lines: list[str], title: str, source: str, own: np.ndarray, ev
         is_title = joined != "" and letters.startswith(joined) and len(letters) <= len(joined) + 30
         separated = len(_SEPARATED.findall(line)) + line.count(" / ") >= 2
         stamp = k <= 4 and _STAMP.match(shown) is not None
-        told = len({m.group().lower()[:5] for m in FURNITURE.finditer(line)})
+        told = len(FURNITURE.intersection(w))
         said, notice = told > 0, told >= SEVERAL and k <= APART * told
-        rights = _RIGHTS.search(line) is not None
+        rights = "©" in line or "copyright" in w or shown[:3].lower() == "(c)"
         about = not is_title and not subjects.isdisjoint(w)
         named = names != "" and names in letters and not is_title
         timed = k <= 6 and _TIME.search(line) is not None
-        digits = len(_DIGIT.findall(shown))
+        digits = len(shown) - len(shown.translate(_NO_DIGITS))
+        part = seen / pages if seen >= 3 else 0.0
+        byline = k <= 6 and _BYLINE.match(line) is not None
         spec = separated and _FIGURE.search(line) is not None
         tokens.append(sorted({_bucket(t) for t in w} | {_bucket("^" + w[0]), _bucket("$" + w[-1])}) if k else [])
         pointer, points = other[i] and not is_title, tail[i] and not is_title
@@ -131,16 +138,18 @@ def page_features(lines: list[str], title: str, source: str, own: np.ndarray, ev
         before, after = i > 0, i + 1 < n
         prev_other, next_other = before and other[i - 1], after and other[i + 1]
         dense.append((
-            1, math.log1p(min(seen, 60)) / 2, seen >= 8, seen >= 3, math.log1p(min(everywhere[i], 400)) / 3, is_title, pointer, points, k <= 2, 3 <= k <= 5, 6 <= k <= 11, k >= 12,
+            1, math.log1p(seen) / 2, seen >= 8, seen >= 3, math.log1p(everywhere[i]) / 3, is_title, pointer, points, k <= 2, 3 <= k <= 5, 6 <= k <= 11, k >= 12,
             sentence, bullet, separated, rights, k == 0, stamp, timed, shown.isupper(), digits / max(1, len(shown)), labelled[i], about,
-            i < lo, i > hi, i == 0, i == n - 1, before and own[i - 1] >= 8, after and own[i + 1] >= 8, before and rare_long[i - 1], after and rare_long[i + 1], prev_other, next_other,
+            i < lo, i > hi, i == 0, i == n - 1, byline, part >= OFTEN, part >= 2 * OFTEN, part, prev_other, next_other,
             between and k <= 5, ":" in shown, said and (notice or not (rare_long[i] and k >= 12 and seen <= 3)), rare_long[i] and k >= 12, led[i], followed[i], named, spec, short,
         ))
+        if not rules_too:
+            continue
         # Labelling rules, the surest first.
         rule = -1
         if is_title:
             rule = 0
-        elif other[i] or tail[i] or stamp:
+        elif other[i] or tail[i] or stamp or byline or (seen >= 8 and part >= OFTEN):
             rule = 1
         elif spec or (short and sentence and seen < 8):
             rule = 0
@@ -150,7 +159,7 @@ def page_features(lines: list[str], title: str, source: str, own: np.ndarray, ev
             rule = 0
         elif named and seen >= 4:
             rule = 1
-        elif k <= 4 and not sentence and not said and everywhere[i] >= 8 and led[i] > 0.6 and followed[i] > 0.6 and not digits:
+        elif k <= 4 and not sentence and not said and part < SELDOM and everywhere[i] >= 8 and led[i] > 0.6 and followed[i] > 0.6 and not digits:
             rule = 0
         elif said and (seen >= 4 or k <= 8 or notice) and not about:
             rule = 1
@@ -168,8 +177,7 @@ def page_features(lines: list[str], title: str, source: str, own: np.ndarray, ev
             rule = 0
         rules.append(rule)
     x = np.array(dense, dtype=np.float32).reshape(n, len(DENSE))
-    rule = np.array(rules, dtype=np.int8)
-    return x, tokens, rule
+    return x, tokens, np.array(rules, dtype=np.int8)
 
 
 def fit(pages: list[tuple], steps: int = 300, rate: float = 0.1, decay: float = 1e-4) -> np.ndarray:
@@ -205,11 +213,10 @@ def fit(pages: list[tuple], steps: int = 300, rate: float = 0.1, decay: float =
 
 def line_costs(weights: np.ndarray, x: np.ndarray, tokens: list[list[int]]) -> np.ndarray:
     """Log-odds of furniture per line."""
-    z = np.einsum("ij,j->i", x, weights[: len(DENSE)])
-    for i, t in enumerate(tokens):
-        if t:
-            z[i] += weights[len(DENSE) + np.array(t)].sum() / np.sqrt(len(t))
-    return z
+    size = np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens))
+    flat = np.fromiter((t for line in tokens for t in line), dtype=np.int64, count=int(size.sum()))
+    words = np.bincount(np.repeat(np.arange(len(tokens)), size), weights[len(DENSE) + flat], minlength=len(tokens))
+    return x @ weights[: len(DENSE)] + words / np.sqrt(np.maximum(size, 1))
 
 
 def minimum_cut(odds: np.ndarray, edges: list[tuple[int, int, float]]) -> np.ndarray:
@@ -285,41 +292,35 @@ def minimum_cut(odds: np.ndarray, edges: list[tuple[int, int, float]]) -> np.nda
 
 
 def page_edges(x: np.ndarray) -> list[tuple[int, int, float]]:
-    """Smoothness edges between lines next to each other and one apart."""
-    shape = x[:, _COL["words12"]] + 2 * x[:, _COL["sentence"]] + 4 * x[:, _COL["bullet"]]
+    """Smoothness edges (i, j, capacity) between lines next to each other and one apart."""
+    shape = (x[:, _COL["words12"]] + 2 * x[:, _COL["sentence"]] + 4 * x[:, _COL["bullet"]]).tolist()
     n = len(x)
     out = [(i, i + 1, EDGE_LIKE if shape[i] == shape[i + 1] else EDGE_UNLIKE) for i in range(n - 1)]
     return out + [(i, i + 2, EDGE_SECOND) for i in range(n - 2) if shape[i] == shape[i + 2]]
 
 
 def _keyed(texts: DataFrame) -> DataFrame:
-    """Texts with, per line, the keys that are counted: in its source, in all sources, as a title.
-
-    Paragraphs count in their source only; other counts are about lines short
-    enough to be furniture, a subheading or a title.  A key of 0 counts nothing.
-    """
+    """Texts with, per line, the keys that are counted: in its source, in all sources, as a title.  A key of 0 counts nothing."""
     source = F.concat(F.lit("s:"), F.coalesce("source_id", F.lit("")))
 
     def key(tag: F.Column, letters: F.Column) -> F.Column:
         return F.when(letters != "", F.xxhash64(tag, letters)).otherwise(F.lit(0).cast("long"))
 
     def of_line(line: F.Column) -> F.Column:
-        brief = F.length(line) <= BRIEF
-        head = F.when(brief, F.when(line.contains("("), line_letters(F.regexp_replace(line, r"\([^()]*\)\s*$", ""))).otherwise(line_letters(line))).otherwise("")
-        tail = F.when(brief & line.contains(":"), line_letters(F.regexp_replace(F.regexp_replace(line, r"\([^()]*\)\s*$", ""), r"^[^:]*:", ""))).otherwise("")
+        head = F.when(line.contains("("), line_letters(F.regexp_replace(line, r"\([^()]*\)\s*$", ""))).otherwise(F.lit(None))
+        tail = F.when(line.contains(":"), line_letters(F.regexp_replace(F.regexp_replace(line, r"\([^()]*\)\s*$", ""), r"^[^:]*:", ""))).otherwise("")
         solid = F.length(F.trim(line)) >= PARAGRAPH
 
         def keys(letters: F.Column) -> F.Column:
-            short = F.when(brief, letters).otherwise("")
             return F.struct(
-                key(source, letters).alias("own"), key(F.lit("*"), short).alias("everywhere"), key(F.lit("^"), head).alias("head"), key(F.lit("^"), tail).alias("tail"), solid.alias("solid"), line.rlike(r"\S").alias("there"),
+                key(source, letters).alias("own"), key(F.lit("*"), letters).alias("everywhere"), key(F.lit("^"), F.coalesce(head, letters)).alias("head"), key(F.lit("^"), tail).alias("tail"), solid.alias("solid"), line.rlike(r"\S").alias("there"),
             )
 
         return let(line_letters(line), keys)
 
     lines = F.split("text", "\n")
     known = ["known"] if "known" in texts.columns else []
-    return texts.select("article_id", "stamp", "title", F.coalesce("source_id", F.lit("")).alias("source"), lines.alias("lines"), F.transform(lines, of_line).alias("info"), F.xxhash64(F.lit("^"), line_letters(F.col("title"))).alias("head"), *known)
+    return texts.select("article_id", "stamp", "title", F.coalesce("source_id", F.lit("")).alias("source"), lines.alias("lines"), F.transform(lines, of_line).alias("info"), F.xxhash64(F.lit("^"), line_letters(F.col("title"))).alias("head"), F.xxhash64(F.lit("n"), source).alias("all"), *known)
 
 
 #: What an article has to do with a key: counts once for it, in a place after or before a paragraph, is titled so; 0 only asks for it.
@@ -361,7 +362,7 @@ def _places(row: np.ndarray, f: dict[str, np.ndarray]) -> tuple[np.ndarray, np.n
 
 
 def _uses(batches):
-    """(key, doc, kind) per article and key, from batches of (doc, info, head)."""
+    """(key, doc, kind) per article and key, from batches of (doc, info, head, all)."""
     for batch in batches:
         row, f, _ = _columns(batch)
         heads, doc = batch.column("head").to_numpy().view(np.uint64), batch.column("doc").to_numpy()
@@ -372,6 +373,7 @@ def _uses(batches):
             asked = np.flatnonzero((f[name] != 0) & (f[name] != heads[row]))
             parts.append((row[asked], f[name][asked], np.zeros(len(asked), np.int8)))
         parts.append((np.arange(batch.num_rows), heads, np.full(batch.num_rows, _TITLED, np.int8)))
+        parts.append((np.arange(batch.num_rows), batch.column("all").to_numpy().view(np.uint64), np.full(batch.num_rows, _COUNTS, np.int8)))
         r, k, kinds, _ = _per_article(*(np.concatenate(x) for x in zip(*parts)))
         yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(doc[r]), pa.array(kinds)], ["key", "doc", "kind"])
 
@@ -382,8 +384,8 @@ def line_counts(texts: DataFrame) -> DataFrame:
     A key that isn't named there stands in this article alone.  Two identifiers of
     equal hash do no harm, as a key's counts are the same for all articles.
     """
-    keyed = _keyed(texts).select("article_id", "stamp", "info", "head")
-    latest = latest_only(keyed).dropDuplicates(["article_id"]).select(F.xxhash64("article_id").alias("doc"), "info", "head")
+    keyed = _keyed(texts).select("article_id", "stamp", "info", "head", "all")
+    latest = latest_only(keyed).dropDuplicates(["article_id"]).select(F.xxhash64("article_id").alias("doc"), "info", "head", "all")
     uses = materialize(latest.mapInArrow(_uses, "key long, doc long, kind byte"), "p3-uses")
 
     def has(mark: int) -> F.Column:
@@ -434,6 +436,7 @@ def _pages(batch: pa.RecordBatch):
     other, tail = is_title(f["head"]), is_title(f["tail"])
     places = np.maximum(everywhere, 1)
     led, followed = (count(f["everywhere"], name, own_kind & mark != 0) / places for name, mark in (("led", _LED), ("followed", _FOLLOWED)))
+    pages = count(batch.column("all").to_numpy().view(np.uint64), "n", np.ones(batch.num_rows, dtype=np.int64))
     lines, titles, sources = (batch.column(c).to_pylist() for c in ("lines", "title", "source"))
     there = f["there"]
     for r in range(batch.num_rows):
@@ -442,7 +445,7 @@ def _pages(batch: pa.RecordBatch):
             yield r, [], None
             continue
         at = offsets[r] + np.array(kept)
-        yield r, kept, ([lines[r][i] for i in kept], titles[r], sources[r], own[at], everywhere[at], other[at], tail[at], led[at], followed[at])
+        yield r, kept, ([lines[r][i] for i in kept], titles[r], sources[r], own[at], everywhere[at], other[at], tail[at], led[at], followed[at], int(pages[r]))
 
 
 def label_lines(articles: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -450,8 +453,9 @@ def label_lines(articles: DataFrame, sample: int = SAMPLE) -> DataFrame:
     spark = articles.sparkSession
     counts = line_counts(article_texts(articles))
     # A bounded sample of pages, the same for the same articles in any order.
-    ids = articles.select("article_id").where("article_id IS NOT NULL").distinct().orderBy(F.xxhash64("article_id"), "article_id").limit(sample)
-    chosen = _with_counts(latest_only(article_texts(articles.join(F.broadcast(ids), "article_id", "left_semi"))), counts)
+    sized = article_texts(articles).where(F.length("text") <= SAMPLE_CHARS)
+    ids = sized.select("article_id").distinct().orderBy(F.xxhash64("article_id"), "article_id").limit(sample)
+    chosen = _with_counts(latest_only(article_texts(articles.join(F.broadcast(ids), "article_id", "left_semi")).where(F.length("text") <= SAMPLE_CHARS)), counts)
     rows = chosen.orderBy("article_id", "stamp").limit(2 * sample).toArrow()
     pages = [p for b in rows.combine_chunks().to_batches() for _, _, p in _pages(b) if p is not None]
     shared = spark.sparkContext.broadcast(fit(pages))
@@ -467,7 +471,7 @@ def label_lines(articles: DataFrame, sample: int = SAMPLE) -> DataFrame:
                 odds.append(0.0)
                 if page is None:
                     continue
-                x, tokens, _ = page_features(*page)
+                x, tokens, _ = page_features(*page, rules_too=False)
                 z = line_costs(w, x, tokens)
                 z[x[:, _COL["title"]] > 0] = -MOST  # the headline is the story's by definition, and so are list lines
                 listed = (x[:, _COL["bullet"]] > 0) & (x[:, _COL["other_title"]] + x[:, _COL["tail_title"]] == 0)

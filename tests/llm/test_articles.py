@@ -123,7 +123,7 @@ def test_counts_of_lines_are_those_of_brute_force(articles):
     table = page_content._with_counts(page_content.latest_only(texts), page_content.line_counts(texts)).toArrow()
     got = {}
     for batch in table.combine_chunks().to_batches():
-        for r, kept, (_, _, _, own, everywhere, other, _, led, _) in page_content._pages(batch):
+        for r, kept, (_, _, _, own, everywhere, other, _, led, _, _) in page_content._pages(batch):
             for i, k in enumerate(kept):
                 got[batch.column("article_id")[r].as_py(), k + 1] = (own[i], everywhere[i], other[i], led[i])
     assert got == want and any(w[2] for w in want.values()) and any(0 < w[3] < 1 for w in want.values())
