@@ -158,17 +158,19 @@ class BitFilter:
         self.bits, self.probes = bits, probes
 
     @staticmethod
-    def slots(items: np.ndarray, size: int, probes: int) -> list[np.ndarray]:
+    def slot(items: np.ndarray, size: int, probe: int) -> np.ndarray:
         from quillstream.llm.textkernel import mix64
 
-        a = mix64(items ^ np.uint64(0x5851F42D4C957F2D))
-        b = mix64(items + np.uint64(0x14057B7EF767814F)) | np.uint64(1)
-        return [(a + np.uint64(i) * b) & np.uint64(size - 1) for i in range(probes)]
+        return mix64(items ^ np.uint64(0x5851F42D4C957F2D * (probe + 1) & 0xFFFFFFFFFFFFFFFF)) & np.uint64(size - 1)
 
     def has(self, items: np.ndarray) -> np.ndarray:
-        out = np.ones(len(items), dtype=bool)
-        for s in self.slots(items, len(self.bits) * 8, self.probes):
-            out &= (self.bits[s >> np.uint64(3)] >> (s & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1
+        out = np.zeros(len(items), dtype=bool)
+        at = np.arange(len(items))
+        for i in range(self.probes):  # most items that weren't added fall out at the first probe
+            s = self.slot(items, len(self.bits) * 8, i)
+            m = (self.bits[s >> np.uint64(3)] >> (s & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1
+            items, at = items[m], at[m]
+        out[at] = True
         return out
 
 
@@ -191,7 +193,8 @@ def build_filter(rows: DataFrame, items, size: int, probes: int = 4) -> BitFilte
     def fill(batches):
         bits = np.zeros(size // 8, dtype=np.uint8)
         for batch in batches:
-            for s in BitFilter.slots(items(batch), size, probes):
+            found = items(batch)
+            for s in (BitFilter.slot(found, size, i) for i in range(probes)):
                 np.bitwise_or.at(bits, s >> np.uint64(3), np.uint8(1) << (s & np.uint64(7)).astype(np.uint8))
         for i in range(0, len(bits), _PIECE):
             if bits[i : i + _PIECE].any():

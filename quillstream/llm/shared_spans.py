@@ -2,14 +2,14 @@
 
 Method: fixed-block anchors.  Each text is cut into non-overlapping blocks of
 (least + 1) // 2 characters; any stretch of `least` characters contains one of
-them whole.  The hashes of the blocks are summed up in a count-min summary of bounded
+them whole.  The hashes of the blocks are kept in a bit filter of bounded
 size, every rolling window of every text probes it, and only windows that may be
-another text's block are shuffled to be joined with the blocks.  A hit fixes two
+a block are shuffled to be joined with the blocks.  A hit fixes two
 texts and the shift between them; comparing both texts character by character at
 that shift extends it to all maximal repeats.
 
-When there are more blocks than the summary can tell apart, the hashes are cut
-into slices and the windows probed once per slice; what is broadcast stays bounded.
+When there are more blocks than the filter can tell apart (MOST_BITS / LOAD, 45
+million), the hashes are cut into slices and the windows probed once per slice; what is broadcast stays bounded.
 
 Defined cases: null texts and texts shorter than `least` share nothing; rows without
 identifier are left out, and rows that repeat an identifier and its text count once;
@@ -24,14 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstream.llm import textkernel as K
-from quillstream.llm.sketch import MOST_CELLS, cells_for, summarize
+from quillstream.llm.packed import build_filter, filter_bits
 from quillstream.runtime import broadcast_if_small, materialize
 
 #: Characters that a stretch must have; characters handled at once within a task.
 LEAST = 500
 SLICE = 1 << 21
-#: Cells of the summary per block.
-LOAD = 16
+#: Bits of the filter per block, and its bits at most.
+LOAD, MOST_BITS = 12, 1 << 29
 
 
 def _slices(batch: pa.RecordBatch):
@@ -82,7 +82,7 @@ def block_index(docs: DataFrame, size: int) -> DataFrame:
 
 
 def probing_windows(docs: DataFrame, size: int, summary, part: int = 0, parts: int = 1) -> DataFrame:
-    """(h, doc_id, place) of the rolling windows that may be a block of another text."""
+    """(h, doc_id, place) of the rolling windows that may be a block, the text's own blocks left out."""
 
     def per_task(batches):
         for batch in batches:
@@ -92,11 +92,9 @@ def probing_windows(docs: DataFrame, size: int, summary, part: int = 0, parts: i
                 h = _window_hashes(code, size)
                 row, place = _places(code)
                 row, place = row[: len(h)], place[: len(h)]
-                inside = place + size < np.diff(code.start)[row] if len(row) else np.zeros(0, bool)
+                inside = (place + size < np.diff(code.start)[row]) & (place % size != 0) if len(row) else np.zeros(0, bool)
                 at = np.flatnonzero(inside & (h % np.uint64(parts) == part)) if parts > 1 else np.flatnonzero(inside)
-                found = summary.value.estimate(h[at])
-                # A text's own block is in the summary once, so that it takes a second one.
-                at = at[found > (place[at] % size == 0)]
+                at = at[summary.value.has(h[at])]
                 if len(at):
                     yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(ids[row[at]]), pa.array(place[at].astype(np.int32))], ["h", "doc_id", "place"])
 
@@ -154,15 +152,16 @@ def class_spans(documents: DataFrame, least: int = LEAST) -> tuple[DataFrame, Da
     members, docs = _classes(documents, least)
     blocks = materialize(block_index(docs, size), "p9-blocks")
     n = blocks.count()
-    parts = max(1, -(-n * LOAD // (MOST_CELLS * 2)))
+    parts = max(1, -(-n * LOAD // MOST_BITS))
     hits = None
     for part in range(parts):
         unsigned = F.col("h").cast("decimal(21,0)") + F.when(F.col("h") < 0, F.lit("18446744073709551616")).otherwise("0").cast("decimal(21,0)")
         mine = blocks if parts == 1 else blocks.where(F.pmod(unsigned, F.lit(parts)) == part)
-        summary = summarize(mine.select("h"), lambda b: b.column("h").to_numpy().view(np.uint64), cells_for(n, LOAD), depth=2)
+        summary = build_filter(mine.select("h"), lambda b: b.column("h").to_numpy().view(np.uint64), filter_bits(-(-n // parts), LOAD, MOST_BITS))
         windows = probing_windows(docs, size, spark.sparkContext.broadcast(summary), part, parts)
         x = mine.select("h", F.col("doc_id").alias("a"), F.col("place").alias("pa"))
-        y = windows.select("h", F.col("doc_id").alias("b"), F.col("place").alias("pb"))
+        # A text's own blocks are in the filter anyway, and meet other texts' blocks without it.
+        y = windows.unionByName(mine).select("h", F.col("doc_id").alias("b"), F.col("place").alias("pb"))
         found = x.join(y, "h").where("a < b").select("a", "b", (F.col("pb") - F.col("pa")).alias("shift")).distinct()
         hits = found if hits is None else hits.unionByName(found)
     hits = materialize(hits.distinct(), "p9-hits")
