@@ -81,14 +81,80 @@ def truncate_text(text: Column, limit: int) -> Column:
     return F.when(F.length(text) <= limit, text).otherwise(cut)
 
 
+# Hosts of one publication under two names, shapes of titles that social sites give posts, lengths of a headline made from prose.
+HOST_ALIASES = {"twitter.com": "x.com"}
+_ACCOUNT = r"(?iU)^.{0,60}\(@[\w.]{1,30}\)\s+on\s+\S+$"
+_HANDLE = r"(?iU)^@[\w.]{1,30}\s+on\s+\S+$"
+_QUOTED = r"(?sU)^.{1,60}?\s+on\s+[^:]{1,30}:\s*[\"\u201c\u2018']\s*(.+)$"
+_FORBIDDEN = r"(?i)https?://|<[a-z/][^>]*>|\]\("
+MIN_HEADLINE, MAX_HEADLINE = 40, 120
+
+
 def registrable_host(host: Column) -> Column:
-    """The last two labels of a host."""
-    return F.substring_index(F.lower(host), ".", -2)
+    """The site of a host: its last two labels, `www.` aside, in the name its aliases share."""
+    bare = F.regexp_replace(F.lower(host), r"^www\.", "")
+    site = F.substring_index(bare, ".", -2)
+    for other, name in HOST_ALIASES.items():
+        site = F.when(site == other, name).otherwise(site)
+    return site
 
 
 def is_account_title(title: Column) -> Column:
-    """Whether a title only names a social account."""
-    return title.rlike(r"^\s*@\w+\s*$") | title.rlike(r"\(@\w+\)\s*(on|en)?\s*(X|Twitter)?\s*$")
+    """Whether a title only names a social account and its platform."""
+    t = collapse_whitespace(title)
+    return t.rlike(_ACCOUNT) | t.rlike(_HANDLE)
+
+
+def unwrap_social_title(title: Column) -> Column:
+    """The quoted part of `Someone on Platform: "..."`; any other title as it is."""
+    body = F.trim(F.regexp_extract(F.trim(title), _QUOTED, 1))
+    bare = F.trim(F.regexp_replace(F.regexp_replace(body, "[\u201d\u2019\"']+$", ""), "[ .\u2026]+$", ""))
+    return F.when(title.isNotNull(), F.when(bare != "", bare).otherwise(title))
+
+
+def headline_from_prose(text: Column) -> Column:
+    """Whole sentences until MIN_HEADLINE characters, or, beyond MAX_HEADLINE, whole words and an ellipsis."""
+    prose = collapse_whitespace(unwrap_social_title(text))
+    sentences = F.split(prose, r"(?<=[.!?])\s+")
+    taken = F.aggregate(sentences, F.lit(""), lambda acc, x: F.when(F.length(acc) >= MIN_HEADLINE, acc).when(acc == "", x).otherwise(F.concat(acc, F.lit(" "), x)))
+    clipped = F.regexp_replace(F.regexp_replace(F.substring(taken, 1, MAX_HEADLINE), r"(?s) [^ ]*$", ""), r"[ ,;:]+$", "")
+    return F.when(F.length(prose) <= MIN_HEADLINE, prose).when(F.length(taken) <= MAX_HEADLINE, taken).otherwise(F.concat(clipped, F.lit("\u2026")))
+
+
+def clean_editorial_text(text: Column, limit: int) -> Column:
+    """Prose in one line, or null if it is empty, longer than limit, or holds a link or markup."""
+    flat = collapse_whitespace(text)
+    return F.when((flat != "") & (F.length(flat) <= limit) & ~flat.rlike(_FORBIDDEN), flat)
+
+
+def event_fingerprint(subject: Column, action: Column, obj: Column, date: Column) -> Column:
+    """subject|action|object|date, trimmed and in lower case; null unless the first three say something."""
+    parts = [subject, action, obj]
+    said = (subject != "") & (action != "") & (obj != "")
+    return F.when(said, F.concat_ws("|", *[F.lower(F.trim(x)) for x in (*parts, F.coalesce(date, F.lit("")))]))
+
+
+def cache_key(content_hash: Column, prompt: Column, schema: Column, model: Column) -> Column:
+    """The identity of an assessment; null if a part is missing."""
+    return F.concat(content_hash, F.lit(":"), prompt, F.lit(":"), schema, F.lit(":"), model)
+
+
+def trimmed_facts(facts: Column, most: int = 8) -> Column:
+    """The first facts that say something, trimmed."""
+    return F.slice(F.filter(F.transform(facts, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != "")), 1, most)
+
+
+def html_escape(text: Column) -> Column:
+    """Text that HTML shows as it is, in content and in attributes."""
+    for mark, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        text = F.replace(text, F.lit(mark), F.lit(name))
+    return text
+
+
+def with_linked_material(text: Column, url: Column, linked: Column) -> Column:
+    """Text with what its page links to, under a label that names the link."""
+    label = F.when(url.isNotNull(), F.concat(F.lit("Material linked from this page ("), url, F.lit("):"))).otherwise("Material linked from this page:")
+    return F.trim(F.concat(F.trim(text), F.lit("\n\n"), label, F.lit("\n\n"), normalize_text(linked)))
 
 
 def trim_to_alphanumeric(token: Column) -> Column:

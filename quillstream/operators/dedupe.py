@@ -40,7 +40,16 @@ def deduplicate(articles: DataFrame, rank: Column) -> DataFrame:
 
 
 def best_per_event(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
-    """rows with `kept`: the first of each event key in the order; rows without key are all kept."""
-    first = F.row_number().over(Window.partitionBy(key).orderBy(*order)) == 1
-    named = rows.where(F.col(key).isNotNull()).withColumn("kept", first)
-    return named.unionByName(rows.where(F.col(key).isNull()).withColumn("kept", F.lit(True)))
+    """rows with `kept`: the first of each event key in the order; rows without key are all kept.
+
+    Rows are numbered in range partitions of (key, order), so that an event of any size is sorted in
+    parallel: a row is the first of its key if the row before it in its partition has another key, and no earlier partition ends with its own.
+    """
+    named = rows.where(F.col(key).isNotNull())
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = [F.col(key), *order]
+    sorted_ = materialize(named.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumn("_part", F.spark_partition_id()), "best")
+    within = F.row_number().over(Window.partitionBy("_part", key).orderBy(*order))
+    heads = sorted_.groupBy(F.col(key)).agg(F.min("_part").alias("_first"))
+    first = sorted_.withColumn("_n", within).join(heads, key).withColumn("kept", (F.col("_n") == 1) & (F.col("_part") == F.col("_first"))).drop("_n", "_part", "_first")
+    return first.unionByName(rows.where(F.col(key).isNull()).withColumn("kept", F.lit(True)))

@@ -58,6 +58,8 @@ def unsupported_entities(prose: DataFrame, sources: DataFrame, by: tuple[str, ..
     """
     split = prose.select(*by, "article_id", "field", F.posexplode(F.split("text", r"(?U)\s+")).alias("at", "raw")).withColumn("token", trim_to_alphanumeric(F.col("raw")))
     tokens = split.where((F.col("token") != "") & is_checkable(F.col("token"))).groupBy(*by, "article_id", "field", F.lower("token").alias("folded")).agg(F.min_by("token", F.struct("at", "token")).alias("token"))
+    # A text is joined once, with all tokens of its article, and its words are made once.
+    gathered = tokens.groupBy("article_id").agg(F.collect_list(F.struct(*by, "field", "token")).alias("said"))
     words = sources.select("article_id", source_words(F.col("text")).alias("words"))
-    checked = tokens.join(words, "article_id").where(~supported(F.col("words"), comparable(F.col("token"))))
-    return checked.select(*by, "article_id", "field", "token")
+    checked = gathered.join(words, "article_id").select("article_id", F.filter("said", lambda x: ~supported(F.col("words"), comparable(x["token"]))).alias("said"))
+    return checked.select("article_id", F.inline("said")).select(*by, "article_id", "field", "token")

@@ -10,10 +10,14 @@ def round_robin(articles: DataFrame, priorities: DataFrame) -> DataFrame:
     """articles with depth: newest first within a source; all sources' first come before any second.
 
     priorities: (source_id, priority); an unlisted source counts as 0.  Sort by
-    `round_robin_order()` for the order itself; depth alone needs no global sort.
+    `round_robin_order()` for the order itself.  Rows are numbered over all sources by
+    range partitions, and a source's rows then from its first number, so that no source is one task's.
     """
-    depth = F.row_number().over(Window.partitionBy("source_id").orderBy(F.col("published_at").desc_nulls_last(), "article_id"))
-    return articles.join(priorities, "source_id", "left").withColumn("priority", F.coalesce("priority", F.lit(0))).withColumn("depth", depth)
+    order = [F.col("source_id").asc_nulls_first(), F.col("published_at").desc_nulls_last(), F.col("article_id")]
+    numbered = positions(articles, order, "_all")
+    first = numbered.groupBy("source_id").agg((F.min("_all") - 1).alias("_before")).withColumnRenamed("source_id", "_source")
+    ranked = numbered.join(first, F.col("source_id").eqNullSafe(F.col("_source"))).withColumn("depth", (F.col("_all") - F.col("_before")).cast("int")).drop("_all", "_before", "_source")
+    return ranked.join(priorities, "source_id", "left").withColumn("priority", F.coalesce("priority", F.lit(0)))
 
 
 def round_robin_order() -> list[Column]:
@@ -50,6 +54,28 @@ def merge_stored(fresh: DataFrame, stored: DataFrame, key: str = "article_id") -
     return fresh.unionByName(stored.join(fresh.select(key).distinct(), key, "left_anti"))
 
 
+def printed_items(items: DataFrame, articles: DataFrame, editions: DataFrame, excluded: str | None = None) -> DataFrame:
+    """(article_id, content_hash, issue, generated_at, edition_id, position) of printed items, those of the issue `excluded` left out.
+
+    items: (edition_id, article_id, position); editions: (edition_id, issue_label, generated_at); an edition without label goes by its identifier.
+    """
+    e = editions.select("edition_id", "issue_label", "generated_at")
+    rows = items.join(articles.select("article_id", "content_hash"), "article_id", "left").join(e, "edition_id", "left").withColumn("issue", F.coalesce("issue_label", "edition_id"))
+    return (rows if excluded is None else rows.where(F.col("issue") != excluded)).select("article_id", "content_hash", "issue", "generated_at", "edition_id", "position")
+
+
+def reserved_first(articles: DataFrame, reserved_source: str | None, order: list[Column], size: int) -> DataFrame:
+    """articles with `batch`: 0 for the reserved source's rows, then 1, 2, ... in the order for the rest."""
+    reserved, rest = split_reserved(articles, reserved_source)
+    numbered = positions(rest, order, "_place").withColumn("batch", (batch_number(F.col("_place"), size) + 1).cast("int")).drop("_place")
+    return reserved.withColumn("batch", F.lit(0)).unionByName(numbered)
+
+
+def known_issues(stored: DataFrame, current: DataFrame) -> DataFrame:
+    """Issues (issue, started) of the store and the one being printed; a label that both have counts as stored."""
+    return stored.select("issue", "started").unionByName(current.select("issue", "started").join(stored.select("issue"), "issue", "left_anti"))
+
+
 def published_keys(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(article_id, issue) and (content_hash, issue): where each was first printed.
 

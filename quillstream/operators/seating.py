@@ -110,8 +110,30 @@ def seat(rows: list, policy: Policy) -> tuple[dict[str, str], dict[str, str], in
         step += 1
 
 
+def displaced(rows: list, policy: Policy, seated: dict[str, str], step: int) -> dict[str, str]:
+    """Rows that the same caps would have seated without floors, each with the floor seat that took its place.
+
+    Both are in rank order and paired by it; more displaced rows than floor seats share the last.
+    """
+    floors = [r.article_id for r in rows if seated.get(r.article_id, "").startswith("floor:")]
+    if not floors:
+        return {}
+    p = policy.relaxed(step)
+    without = _Seats(p)
+    for row in rows:
+        if seated.get(row.article_id) == "reserved":
+            without.add(row, "reserved")
+    for row in rows:
+        if row.article_id not in without.rows and row.category not in p.excluded and row.final_score >= p.min_score and not without.full and without.breach(row) is None:
+            without.add(row, "earned")
+    lost = [r.article_id for r in rows if r.article_id in without.rows and r.article_id not in seated]
+    return {a: floors[min(i, len(floors) - 1)] for i, a in enumerate(lost)}
+
+
 def seat_editions(ranked: DataFrame, policy: Policy) -> DataFrame:
-    """(edition_id, article_id, outcome, position, steps): outcome is how a row was seated, or why it wasn't.
+    """(edition_id, article_id, outcome, position, steps, detail): outcome is how a row was seated, or why it wasn't.
+
+    detail names, for a row that a floor cost its seat, the row that has it.
 
     ranked: edition_id, article_id (unique within), source_id, category, final_score,
     published_at and, optionally, subject.  position is the place in print: reserved
@@ -135,15 +157,16 @@ def seat_editions(ranked: DataFrame, policy: Policy) -> DataFrame:
         seated, refused, steps = seat(rows, policy)
         printed = [r for r in rows if seated.get(r.article_id) == "reserved"] + [r for r in rows if r.article_id in seated and seated[r.article_id] != "reserved"]
         place = {r.article_id: i for i, r in enumerate(printed, 1)}
+        cost = displaced(rows, policy, seated, steps)
         ids = [r.article_id for r in rows]
-        return pd.DataFrame({"edition_id": frame["edition_id"].iloc[0], "article_id": ids, "outcome": [seated.get(i) or refused.get(i) for i in ids], "position": pd.array([place.get(i) for i in ids], dtype="Int32"), "steps": steps})
+        return pd.DataFrame({"edition_id": frame["edition_id"].iloc[0], "article_id": ids, "outcome": [seated.get(i) or refused.get(i) for i in ids], "position": pd.array([place.get(i) for i in ids], dtype="Int32"), "steps": steps, "detail": [cost.get(i) for i in ids]})
 
-    done = candidates.groupBy("edition_id").applyInPandas(fold, "edition_id string, article_id string, outcome string, position int, steps int")
+    done = candidates.groupBy("edition_id").applyInPandas(fold, "edition_id string, article_id string, outcome string, position int, steps int, detail string")
     # Rows that were set aside: their reason follows from the line-up.  At a row's turn the seats taken are
     # the reserved and floor seats and those earned before it; an edition has max_items seats at most.
     steps = done.groupBy("edition_id").agg(F.max("steps").alias("_steps"))
     rest = base.join(done, ["edition_id", "article_id"], "left").join(steps, "edition_id", "left")
-    aside = rest.where(F.col("outcome").isNull() & eligible & (F.col("final_score") >= policy.min_score)).drop("outcome", "position", "steps")
+    aside = rest.where(F.col("outcome").isNull() & eligible & (F.col("final_score") >= policy.min_score)).drop("outcome", "position", "steps", "detail")
     place = lambda p: [-F.col(f"{p}final_score"), F.col(f"{p}published_at").isNull(), F.col(f"{p}published_at"), F.col(f"{p}article_id")]
     seats = base.join(done.where("position IS NOT NULL"), ["edition_id", "article_id"])
     seats = seats.select("edition_id", *[F.col(c).alias(f"s_{c}") for c in ("article_id", "source_id", "category", "final_score", "published_at", "subject", "outcome")])
@@ -160,7 +183,7 @@ def seat_editions(ranked: DataFrame, policy: Policy) -> DataFrame:
             why = why.when(F.col(column) >= up(cap), name)
     named = seen.select("edition_id", "article_id", why.alias("_why"))
     reason = F.coalesce("outcome", "_why", F.when(~eligible, "excluded_category").otherwise("below_threshold"))
-    return rest.join(named, ["edition_id", "article_id"], "left").select("edition_id", "article_id", reason.alias("outcome"), "position", F.coalesce("steps", "_steps", F.lit(0)).alias("steps"))
+    return rest.join(named, ["edition_id", "article_id"], "left").select("edition_id", "article_id", reason.alias("outcome"), "position", F.coalesce("steps", "_steps", F.lit(0)).alias("steps"), "detail")
 
 
 def _before(x: list[F.Column], y: list[F.Column]) -> F.Column:

@@ -8,11 +8,12 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillstream.functions import dates, text, urls
-from quillstream.operators import dedupe, fidelity, pool, scoring, seating, similarity
+from quillstream.functions import dates, text, transfer, urls
+from quillstream.operators import dedupe, editorial, fidelity, pool, scoring, seating, selection, similarity
 from quillstream.operators.scoring import rank_order
 from quillstream.plans import tables as T
 from quillstream.plans.tables import SQL_ARTICLES, SQL_ASSESSMENTS, SQL_RANKED, SQL_SCORED
+from quillstream.sources import ingest
 
 #: Score at which a candidate may be printed, line-up rules, and the event-time window of the window queries.
 THRESHOLD = 62
@@ -413,6 +414,14 @@ def entity_violations(spark, sf):
     return fidelity.unsupported_entities(prose, sources, by=("cache_key",))
 
 
+@query(f"WITH {SQL_ARTICLES} SELECT article_id, 'summary' AS field, 'QuxBot7' AS token FROM txt WHERE text IS NOT NULL")
+def planted_entities(spark, sf):
+    """A sentence about every article that names what its title names and one thing that no text does."""
+    sources = T.articles(spark, sf, text=True).where("text IS NOT NULL").select("article_id", F.concat_ws("\n", "title", "text").alias("text"), "title")
+    prose = sources.select("article_id", F.lit("summary").alias("field"), F.concat_ws(" ", F.lit("News of"), "title", F.lit("with QuxBot7, and again QUXBOT7.")).alias("text"))
+    return fidelity.unsupported_entities(prose, sources.select("article_id", "text")).select("article_id", "field", "token")
+
+
 # -- dimension queries ----------------------------------------------------------------------------
 
 
@@ -435,6 +444,150 @@ def first_by_hash(spark, sf):
     return rows.groupBy("content_hash").agg(F.min_by("article_id", F.struct("first_seen_at", "article_id")).alias("article_id"))
 
 
+# -- whole line-ups --------------------------------------------------------------------------
+
+
+def _lineups(spark, sf, policy=POLICY):
+    """Candidates of each edition with what earlier issues printed, the event of their latest assessment, title and text."""
+    issue = _issue()
+    texts = T.articles(spark, sf, text=True).select("article_id", "title", "text")
+    by_id = pool.published_keys(_items(spark, sf))[0].select("article_id", F.col("issue").alias("_first"))
+    events = T.assessments(spark, sf).where("article_id IS NOT NULL").groupBy("article_id").agg(F.max_by(F.struct("event_subject", "event_object"), F.struct("prompt_version", "created_at", "cache_key")).alias("e"))
+    keyed = events.select("article_id", text.event_key(F.col("e.event_subject"), F.col("e.event_object")).alias("event_key"))
+    rows = T.ranked(spark, sf).join(texts, "article_id", "left").join(by_id, "article_id", "left").join(keyed, "article_id", "left")
+    rows = rows.withColumn("printed_in", F.when(F.col("_first") < issue, F.col("_first")))
+    return rows, selection.select_lineups(rows, policy)
+
+
+@query()
+def select_editions(spark, sf):
+    return _lineups(spark, sf)[1]
+
+
+@query()
+def lineup_summary(spark, sf):
+    rows, lineups = _lineups(spark, sf)
+    return selection.lineup_summary(rows, lineups, POLICY)
+
+
+@query(f"WITH {SQL_RANKED} SELECT edition_id, count(*) AS candidates, count(*) FILTER (final_score >= 62 AND category IS NOT NULL AND category NOT IN ('other', '')) AS above_threshold FROM rk GROUP BY 1")
+def above_threshold(spark, sf):
+    rows = T.ranked(spark, sf)
+    return selection.lineup_summary(rows, _seated(spark, sf), POLICY).select("edition_id", "candidates", "above_threshold")
+
+
+# -- assessments and edited texts ----------------------------------------------------------------
+
+_J = "json_extract_string(payload, '$.assessment.{}')"
+_FULL = f"""full_ AS (SELECT cache_key, topic_relevance, business_impact, novelty, actionability, CAST({_J.format("confidence")} AS DOUBLE) AS confidence, summary, {_J.format("why_it_matters")} AS why_it_matters, {_J.format("event_action")} AS event_action, {_J.format("event_date")} AS event_date, event_subject, event_object,
+ CASE WHEN json_type(payload, '$.assessment.key_facts') = 'ARRAY' THEN from_json(json_extract(payload, '$.assessment.key_facts'), '["VARCHAR"]') END AS key_facts, content_hash, prompt_version, schema_version, model FROM ass)"""
+
+
+@query(f"WITH {SQL_ASSESSMENTS}, {_FULL} SELECT cache_key, CASE WHEN NOT coalesce(topic_relevance BETWEEN 0 AND 5, FALSE) THEN 'topic_relevance' WHEN NOT coalesce(business_impact BETWEEN 0 AND 5, FALSE) THEN 'business_impact' WHEN NOT coalesce(novelty BETWEEN 0 AND 5, FALSE) THEN 'novelty' WHEN NOT coalesce(actionability BETWEEN 0 AND 5, FALSE) THEN 'actionability' WHEN NOT coalesce(confidence BETWEEN 0 AND 1, FALSE) THEN 'confidence' WHEN coalesce(trim(summary), '') = '' THEN 'summary' WHEN coalesce(trim(why_it_matters), '') = '' THEN 'why_it_matters' END AS problem FROM full_")
+def rubric_check(spark, sf):
+    return T.assessments(spark, sf).select("cache_key", editorial.rubric_problem().alias("problem"))
+
+
+@query(f"WITH {SQL_ASSESSMENTS}, {_FULL} SELECT cache_key, array_to_string(list_slice(list_filter(list_transform(key_facts, lambda x: trim(x)), lambda x: x IS NOT NULL AND x <> ''), 1, 8), ' / ') AS facts FROM full_ WHERE key_facts IS NOT NULL")
+def assessment_facts(spark, sf):
+    rows = T.assessments(spark, sf).where("key_facts IS NOT NULL")
+    return rows.select("cache_key", F.array_join(text.trimmed_facts(F.col("key_facts")), " / ").alias("facts"))
+
+
+@query(f"WITH {SQL_ASSESSMENTS}, {_FULL} SELECT cache_key, CASE WHEN event_subject <> '' AND event_action <> '' AND event_object <> '' THEN lower(trim(event_subject)) || '|' || lower(trim(event_action)) || '|' || lower(trim(event_object)) || '|' || lower(trim(coalesce(event_date, ''))) END AS fingerprint, content_hash || ':' || prompt_version || ':' || schema_version || ':' || model AS key FROM full_")
+def event_fingerprints(spark, sf):
+    c = F.col
+    return T.assessments(spark, sf).select(
+        "cache_key", text.event_fingerprint(c("event_subject"), c("event_action"), c("event_object"), c("event_date")).alias("fingerprint"), text.cache_key(c("content_hash"), c("prompt_version"), c("schema_version"), c("model")).alias("key")
+    )
+
+
+@query(f"WITH {SQL_ASSESSMENTS}, {_FULL}, x AS (SELECT cache_key, trim(regexp_replace(why_it_matters, '\\s+', ' ', 'g')) AS t FROM full_) SELECT cache_key, CASE WHEN t <> '' AND length(t) <= 100 AND NOT regexp_matches(t, 'https?://|<[a-z/][^>]*>|\\]\\(', 'i') THEN t END AS clean FROM x")
+def editorial_texts(spark, sf):
+    return T.assessments(spark, sf).select("cache_key", text.clean_editorial_text(F.col("why_it_matters"), 100).alias("clean"))
+
+
+@query(f"WITH {SQL_RANKED}, {SQL_ARTICLES}, e AS (SELECT edition_id, article_id, row_number() OVER (PARTITION BY edition_id ORDER BY article_id) AS position FROM rk), t AS (SELECT e.edition_id, e.article_id, trim(regexp_replace(a.title, '\\s+', ' ', 'g')) AS h FROM e JOIN art a USING (article_id)) SELECT edition_id, article_id, h AS headline FROM t WHERE h <> '' AND length(h) <= 140 AND NOT regexp_matches(h, 'https?://|<[a-z/][^>]*>|\\]\\(', 'i')")
+def usable_polish(spark, sf):
+    """The titles of candidates as edited texts, every row twice, the second time with other words."""
+    items = T.ranked(spark, sf).select("edition_id", "article_id")
+    titles = items.join(T.articles(spark, sf).select("article_id", "title"), "article_id")
+    first = titles.select("edition_id", F.lit(1).alias("position"), "article_id", F.col("title").alias("headline"), F.lit("see https://e.example").alias("why_it_matters"))
+    again = first.withColumn("position", F.lit(2)).withColumn("headline", F.lit("repeat"))
+    stray = first.limit(1).withColumn("article_id", F.lit("unknown"))
+    return editorial.usable_polish(first.unionByName(again).unionByName(stray), items).select("edition_id", "article_id", "headline")
+
+
+# -- titles, dates, sites and paths ----------------------------------------------------------------------
+
+_MONTHS = "['" + "','".join(dates.MONTHS) + "']"
+
+
+@query(f"WITH {SQL_ARTICLES} SELECT article_id, day(u) || ' ' || {_MONTHS}[month(u)] || ' ' || year(u) AS printed, day(v) || ' ' || {_MONTHS}[month(v)] || ' ' || year(v) AS until, 'Semana ' || CAST(strftime(v, '%V') AS INT) AS week FROM (SELECT article_id, published_at AT TIME ZONE 'UTC' AS u, (published_at AT TIME ZONE 'UTC') - INTERVAL 1 MICROSECOND AS v FROM art)")
+def issue_dates(spark, sf):
+    t = F.col("published_at").cast("timestamp")
+    return T.articles(spark, sf).select("article_id", dates.issue_date(t).alias("printed"), dates.issue_date_end(t).alias("until"), dates.issue_week_text(dates.issue_label(t)).alias("week"))
+
+
+@query(f"WITH {SQL_ARTICLES}, h AS (SELECT article_id, regexp_replace(lower(regexp_extract(canonical_url, '^[^:/?#]+://(?:[^@/?#]*@)?([^:/?#]*)', 1)), '^www\\.', '') AS h FROM art WHERE canonical_url IS NOT NULL), s AS (SELECT article_id, array_to_string(string_split(h, '.')[-2:], '.') AS s FROM h) SELECT article_id, CASE WHEN s = 'twitter.com' THEN 'x.com' ELSE s END AS site FROM s")
+def article_sites(spark, sf):
+    return T.articles(spark, sf).where("canonical_url IS NOT NULL").select("article_id", ingest.site_of(F.col("canonical_url")).alias("site"))
+
+
+@query("SELECT record_id, CASE WHEN NOT starts_with(lower(canonical_url), 'https://') THEN 'not https' WHEN regexp_matches(lower(canonical_url), '^https://([^@/?#]*@)?([^:/?#]*\\.)?harbor') THEN 'listed' ELSE 'ok' END AS verdict FROM incoming_articles WHERE canonical_url IS NOT NULL AND regexp_matches(lower(canonical_url), '^https?://[^/?#]')")
+def submitted_urls(spark, sf):
+    rows = T.table(spark, sf, "incoming_articles").where(F.col("canonical_url").isNotNull() & urls.is_public_url(F.col("canonical_url")))
+    listed = transfer.host_of(urls.canonicalize_url(F.col("canonical_url"))).rlike(r"(^|\.)harbor")
+    problem = ingest.submitted_url_problem(F.col("canonical_url"), ("blocked.invalid",))
+    return rows.select("record_id", F.coalesce(problem, F.when(listed, "listed"), F.lit("ok")).alias("verdict"))
+
+
+# -- ingest --------------------------------------------------------------------------------------------------
+
+
+@query("WITH r AS (SELECT source_id, json_valid(payload) AND json_extract_string(payload, '$.clean_text') IS NOT NULL AS ok FROM incoming_articles), n AS (SELECT source_id, count(*) AS found, count(*) FILTER (ok) AS ingested FROM r GROUP BY 1) SELECT s.id AS source_id, coalesce(found, 0) AS found, coalesce(ingested, 0) AS ingested, coalesce(found, 0) - coalesce(ingested, 0) AS failed, CASE WHEN coalesce(found, 0) = 0 THEN 'empty' WHEN ingested < found THEN 'partial' ELSE 'ok' END AS status FROM sources s LEFT JOIN n ON n.source_id = s.id WHERE s.enabled")
+def source_outcomes(spark, sf):
+    parsed = F.from_json("payload", "clean_text string, _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    ok = F.coalesce(parsed["_bad"].isNull() & parsed["clean_text"].isNotNull(), F.lit(False))
+    rows = T.table(spark, sf, "incoming_articles").select("source_id", F.when(~ok, "payload").alias("problem"))
+    return ingest.source_outcomes(T.table(spark, sf, "sources"), rows)
+
+
+@query(f"WITH {SQL_ARTICLES}, {SQL_RANKED} SELECT DISTINCT r.edition_id, r.article_id, CASE WHEN a.article_id IS NULL THEN 'article' ELSE 'source' END AS broken FROM rk r LEFT JOIN art a ON a.article_id = r.article_id LEFT JOIN sources s ON s.id = a.source_id WHERE a.article_id IS NULL OR s.id IS NULL")
+def traceability(spark, sf):
+    items = T.ranked(spark, sf)
+    return ingest.traceability(items, items, T.articles(spark, sf), T.table(spark, sf, "sources"))
+
+
+@query(f"WITH {SQL_ARTICLES}, u AS (SELECT DISTINCT record_id, canonical_url FROM incoming_articles WHERE canonical_url IS NOT NULL), a AS (SELECT canonical_url, max_by(article_id, (retrieved_at, article_id)) AS article_id FROM art WHERE canonical_url IS NOT NULL GROUP BY 1) SELECT record_id, a.article_id FROM u JOIN a USING (canonical_url) WHERE canonical_url IN (SELECT canonical_url FROM art GROUP BY 1) AND regexp_matches(canonical_url, '^https://[a-z.-]+/[a-z0-9/-]*[a-z0-9]$') AND NOT regexp_matches(canonical_url, '^https://www')")
+def matched_urls(spark, sf):
+    plain = F.col("url").rlike(r"^https://[a-z.-]+/[a-z0-9/-]*[a-z0-9]$") & ~F.col("url").rlike("^https://www")
+    proposed = T.table(spark, sf, "incoming_articles").where("canonical_url IS NOT NULL").select("record_id", F.col("canonical_url").alias("url")).distinct()
+    rows = T.articles(spark, sf)
+    exact = rows.where(F.col("canonical_url").rlike(r"^https://[a-z.-]+/[a-z0-9/-]*[a-z0-9]$") & ~F.col("canonical_url").rlike("^https://www"))
+    found = ingest.match_by_url(proposed, exact.withColumn("origin_url", F.lit(None).cast("string")))
+    return found.where(plain & F.col("article_id").isNotNull()).select("record_id", "article_id")
+
+
+@query(f"WITH {SQL_RANKED} SELECT edition_id, epoch_us(max(published_at)) AS started FROM rk GROUP BY 1 ORDER BY 2 DESC, 1 DESC LIMIT 10")
+def latest_runs(spark, sf):
+    runs = T.ranked(spark, sf).groupBy("edition_id").agg(F.max(F.unix_micros(F.col("published_at").cast("timestamp"))).alias("started"))
+    return ingest.latest_runs(runs, 10, "started", "edition_id")
+
+
+@query(f"WITH {SQL_ARTICLES} SELECT article_id, row_number() OVER (ORDER BY published_at NULLS FIRST, article_id) AS place FROM art")
+def recalled_order(spark, sf):
+    rows = T.articles(spark, sf).select("article_id", "published_at")
+    return pool.positions(rows, [F.col("published_at").asc_nulls_first(), F.col("article_id")], "place").select("article_id", "place")
+
+
+@query(f"WITH {SQL_ARTICLES}, o AS (SELECT article_id, source_id, row_number() OVER (ORDER BY published_at NULLS FIRST, article_id) AS place FROM art WHERE source_id IS DISTINCT FROM (SELECT min(id) FROM sources)) SELECT article_id, 0 AS batch FROM art WHERE source_id = (SELECT min(id) FROM sources) UNION ALL SELECT article_id, CAST((place - 1) // 50 + 1 AS INT) FROM o")
+def reserved_batches(spark, sf):
+    source = T.table(spark, sf, "sources").agg(F.min("id")).first()[0]
+    rows = T.articles(spark, sf).select("article_id", "source_id", "published_at")
+    return pool.reserved_first(rows, source, [F.col("published_at").asc_nulls_first(), F.col("article_id")], 50).select("article_id", "batch")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_queries)
 

@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstream.functions import text as X
-from quillstream.functions.dates import parse_datetime
+from quillstream.functions.dates import SCAN, embedded_date, parse_datetime
+from quillstream.functions.transfer import host_of
 from quillstream.functions.urls import canonicalize_url, dedupe_key, same_site
 
 # Elements without content, elements that end a line, and those that may hold the body, the best first.
@@ -164,21 +165,24 @@ def page_fields(html_text: str, url: str) -> dict:
         "dates": clean([*(meta.get(k) for k in ("article:published_time", "og:published_time", "datepublished", "date", "pubdate")), *said("datePublished"), *times]),
         "authors": clean([meta.get("author"), meta.get("article:author"), *names]),
         "canonical": canonical,
+        "description": next(iter(clean([meta.get("og:description"), meta.get("description"), meta.get("twitter:description")])), None),
+        "scripts": "\n".join(x for x in ("".join(c for c in n.children if isinstance(c, str)) for n in _walk(root) if n.tag == "script") if x)[:SCAN],
         "text": body_text(root),
     }
 
 
-def extract_articles(pages: DataFrame) -> DataFrame:
+def extract_articles(pages: DataFrame, date_key: str | None = None) -> DataFrame:
     """Articles from (source_id, url, html, title_hint, published_at_hint), with a `problem` where one can't be made.
 
     A page's canonical link is trusted only on the page's own site; a date comes from the
-    first candidate that reads as one, else from the hint.
+    first candidate that reads as one, else from `date_key` in the page's scripts, else from the hint.
+    A title that only names an account gives way to the hint or the beginning of the page's description.
     """
-    schema = "source_id string, url string, titles array<string>, dates array<string>, authors array<string>, canonical string, text string, title_hint string, published_at_hint timestamp"
+    schema = "source_id string, url string, titles array<string>, dates array<string>, authors array<string>, canonical string, description string, scripts string, text string, title_hint string, published_at_hint timestamp"
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            found = pd.DataFrame([page_fields(h, u) for h, u in zip(frame["html"], frame["url"])], columns=["titles", "dates", "authors", "canonical", "text"])
+            found = pd.DataFrame([page_fields(h, u) for h, u in zip(frame["html"], frame["url"])], columns=["titles", "dates", "authors", "canonical", "description", "scripts", "text"])
             found.insert(0, "source_id", frame["source_id"].to_numpy())
             found.insert(1, "url", frame["url"].to_numpy())
             found["title_hint"], found["published_at_hint"] = frame["title_hint"].to_numpy(), frame["published_at_hint"].to_numpy()
@@ -186,10 +190,10 @@ def extract_articles(pages: DataFrame) -> DataFrame:
 
     raw = pages.select("source_id", "url", "html", "title_hint", "published_at_hint").mapInPandas(read, schema)
     own = F.when(same_site(F.col("canonical"), F.col("url")), F.col("canonical")).otherwise(F.col("url"))
-    title = F.coalesce(F.get(F.filter("titles", lambda t: ~X.is_account_title(t)), F.lit(0)), F.col("title_hint"), F.get("titles", F.lit(0)))
-    published = F.coalesce(F.get(F.filter(F.transform("dates", parse_datetime), lambda d: d.isNotNull()), F.lit(0)), F.col("published_at_hint"))
+    title = F.coalesce(F.get(F.filter("titles", lambda t: ~X.is_account_title(t)), F.lit(0)), F.col("title_hint"), X.headline_from_prose(F.col("description")), F.get("titles", F.lit(0)))
+    published = F.coalesce(F.get(F.filter(F.transform("dates", parse_datetime), lambda d: d.isNotNull()), F.lit(0)), F.lit(None) if date_key is None else embedded_date(F.col("scripts"), date_key), F.col("published_at_hint"))
     out = raw.select(
-        "source_id", F.col("url").alias("origin_url"), canonicalize_url(own).alias("canonical_url"), X.collapse_whitespace(title).alias("title"), published.alias("published_at"),
+        "source_id", F.col("url").alias("origin_url"), canonicalize_url(own).alias("canonical_url"), X.collapse_whitespace(X.unwrap_social_title(title)).alias("title"), published.alias("published_at"),
         F.get("authors", F.lit(0)).alias("author"), X.normalize_text(F.col("text")).alias("clean_text"),
     )
     problem = (
@@ -217,6 +221,6 @@ def outbound_links(pages: DataFrame, blocked: tuple[str, ...] = ()) -> DataFrame
             yield pd.DataFrame(rows, columns=["url", "position", "link"])
 
     raw = pages.select("url", "html").mapInPandas(read, "url string, position int, link string")
-    host = lambda c: X.registrable_host(F.regexp_extract(c, r"^[^:/?#]+://(?:[^@/?#]*@)?([^:/?#]*)", 1))
+    host = lambda c: X.registrable_host(host_of(c))
     kept = raw.where(canonicalize_url(F.col("link")).isNotNull() & (host(F.col("link")) != host(F.col("url"))))
     return kept.where(~host(F.col("link")).isin(*blocked)) if blocked else kept
