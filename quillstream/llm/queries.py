@@ -90,6 +90,9 @@ _SQL = {
 k AS (SELECT article_id, source_id, CAST(line_no AS INT) AS line_no, regexp_replace(lower(line), '[^\\p{{L}}]+', '', 'g') AS key FROM l),
 f AS (SELECT source_id, key FROM k WHERE key <> '' GROUP BY ALL HAVING count(DISTINCT article_id) >= 8)
 SELECT article_id, line_no FROM k JOIN f USING (source_id, key)""",
+    "p1_clean_articles": f"""WITH {_TEXTS}, l AS (SELECT article_id, source_id, title, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM t),
+k AS (SELECT *, regexp_replace(lower(line), '[^\\p{{L}}]+', '', 'g') AS key FROM l), f AS (SELECT source_id, key, TRUE AS gone FROM k WHERE key <> '' AND source_id IS NOT NULL GROUP BY ALL HAVING count(DISTINCT article_id) >= 8)
+SELECT article_id, k.source_id, any_value(title) AS title, coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (WHERE gone IS NULL), '') AS clean_text, CAST(count(gone) AS INT) AS removed FROM k LEFT JOIN f USING (source_id, key) GROUP BY article_id, k.source_id""",
     "p4_found": f"""WITH {_TEXTS}, w AS (SELECT article_id, regexp_extract_all(lower(title || chr(10) || text), '[\\p{{L}}\\p{{N}}]+') AS w FROM t),
 g AS (SELECT DISTINCT article_id, w[j] || ' ' || w[j + 1] || ' ' || w[j + 2] AS g FROM (SELECT article_id, w, unnest(range(1, len(w) - 1)) AS j FROM w)),
 n AS (SELECT article_id, count(*) AS n FROM g GROUP BY 1), c AS (SELECT x.article_id AS a, y.article_id AS b, count(*) AS c FROM g x JOIN g y ON x.g = y.g AND x.article_id < y.article_id GROUP BY ALL)
