@@ -95,7 +95,7 @@ class History:
         spark.createDataFrame([(i, data[i * _PART : (i + 1) * _PART]) for i in range(-(-len(data) // _PART))], "no int, part binary").coalesce(1).write.mode("overwrite").parquet(f"{store.path}/order")
         store._order = spark.sparkContext.broadcast(order)
         store._add_blocks(sets, attempt)
-        store._add_keys(rows, attempt)
+        store._add_keys(_identity_keys(rows).select("key"), attempt)
         store._commit("", attempt)
         return store
 
@@ -108,8 +108,8 @@ class History:
     def _add_blocks(self, sets: DataFrame, attempt: str) -> None:
         self._insert("blocks", near.packed_entries(sets, self.order, self.t).select(F.lit(attempt).alias("attempt"), "bucket", "data"), "bucket")
 
-    def _add_keys(self, rows: DataFrame, attempt: str) -> None:
-        self._insert("keys", _identity_keys(rows).select(F.lit(attempt).alias("attempt"), "key").distinct(), "key")
+    def _add_keys(self, keys: DataFrame, attempt: str) -> None:
+        self._insert("keys", keys.select(F.lit(attempt).alias("attempt"), "key").distinct(), "key")
 
     def _commit(self, batch: str, attempt: str) -> None:
         """The single step that makes an attempt part of the store."""
@@ -120,10 +120,14 @@ class History:
         if batch is not None and batch in self._commits()["batch"]:
             return
         rows = accepted.select(F.xxhash64("article_id", "payload").alias("id"), *_FIELDS)
+        sets = near.class_sets(_texts(rows), self.words).where("data IS NOT NULL")
+        self._add(sets, _identity_keys(rows).select("key"), batch)
+
+    def _add(self, sets: DataFrame, keys: DataFrame, batch: str | None) -> None:
         attempt = self._attempt()
-        self._add_sets(near.class_sets(_texts(rows), self.words).where("data IS NOT NULL"), attempt)
+        self._add_sets(sets, attempt)
         self._add_blocks(self._sets(attempt), attempt)
-        self._add_keys(rows, attempt)
+        self._add_keys(keys, attempt)
         self._commit(batch or attempt, attempt)
 
     def accept(self, batch: DataFrame, name: str | None = None) -> DataFrame:
@@ -132,9 +136,14 @@ class History:
         With a name, a batch that was appended before is not appended again; what is
         returned for it then comes from the store, so that all its records are held.
         """
-        result = materialize(self.check(batch), "p2-result")
-        new = batch.join(result.where("NOT held"), "record_id", "left_semi")
-        self.append(new, name)
+        decided, texts, keys = self._check(batch)
+        result = materialize(decided, "p2-result")
+        if name is None or name not in self._commits()["batch"]:
+            # The batch was read once; its sets and keys are taken over as they are.
+            new = result.where("NOT held").select(F.col("record_id").alias("id"))
+            classes = texts.where("size > 0").join(new, "id", "left_semi").select("class_id").distinct()
+            sets = near.named_sets(texts.where("data IS NOT NULL"), classes).join(classes, "class_id", "left_semi")
+            self._add(sets, keys.join(new, "id", "left_semi").select("key"), name)
         return result
 
     # -- the tables ---------------------------------------------------------------------
@@ -186,6 +195,10 @@ class History:
 
     def check(self, batch: DataFrame) -> DataFrame:
         """(record_id, held) for every record, taken in the order batch_no, record_id."""
+        return self._check(batch)[0]
+
+    def _check(self, batch: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(record_id, held), the packed sets of the batch's texts, and its identity keys."""
         order = self.order
         rows = batch.where("record_id IS NOT NULL").select(F.col("record_id").alias("id"), "batch_no", *_FIELDS)
         texts = materialize(near.class_sets(_texts(rows), self.words), "p2-texts")
@@ -216,7 +229,8 @@ class History:
         links = alike_new.select(F.col("a").alias("ca"), F.col("b").alias("cb")).join(one, "ca").join(two, "cb").select("a", "b")
         every = keys.select("id", F.hex("key").alias("key")).unionByName(members.select("id", F.concat(F.lit("t:"), F.col("class_id").cast("string")).alias("key")))
         decided = greedy_keep(undecided, every.join(held, "id", "left_anti"), links)
-        return decided.select(F.col("id").alias("record_id"), (~F.col("kept")).alias("held")).unionByName(held.select(F.col("id").alias("record_id"), F.lit(True).alias("held")))
+        result = decided.select(F.col("id").alias("record_id"), (~F.col("kept")).alias("held")).unionByName(held.select(F.col("id").alias("record_id"), F.lit(True).alias("held")))
+        return result, texts, keys
 
     def _meet(self, sets: DataFrame) -> DataFrame:
         """(a, b, old), short identifiers: candidates b of the batch, and a of the history if old and else of the batch."""
@@ -251,7 +265,7 @@ def _tables(per_bucket):
 
 
 def held_records(articles: DataFrame, incoming: DataFrame, path: str | None = None) -> DataFrame:
-    """(record_id, held) of all incoming records against a store made of `articles` (at `path`, or in the shared folder)."""
+    """(record_id, held) of all incoming records against a store made of `articles` (at `path`, or in the shared folder), which holds the accepted ones afterwards."""
     spark = articles.sparkSession
     store = History.create(articles, path or scratch_path(spark, "history"))
-    return store.check(incoming)
+    return store.accept(incoming)

@@ -8,8 +8,8 @@ the radius agree in one block at least, so that block lookups find all of them.
 Candidates within the radius are verified by the exact weighted similarity of their
 word pairs, and for a similarity of one also word by word, in order.
 
-The items are a stated query set.  They are broadcast in blocks of at most `block`
-items, so that what is broadcast is bounded whatever their number; the documents are
+The items are a stated query set.  They are broadcast in blocks of about `block`
+items and BLOCK_CHARS characters at most, so that what is broadcast is bounded whatever their number; the documents are
 read once per block and never shuffled.
 
 Defined cases: null or wordless texts contain nothing and are contained in
@@ -30,10 +30,10 @@ from pyspark.sql import functions as F
 from quillstream.llm import textkernel as K
 from quillstream.llm.near_duplicates import batches_of_text
 
-#: Consecutive words that make a leak; bits by which fingerprints may differ; items broadcast at once.
+#: Consecutive words that make a leak; bits by which fingerprints may differ; items, and characters of items, broadcast at once (a window takes about 220 bytes).
 RUN = 13
 RADIUS = 3
-BLOCK = 20_000
+BLOCK, BLOCK_CHARS = 20_000, 2_000_000
 #: Words whose fingerprints are made at once, to stay within the cache.
 STEP = 8192
 
@@ -165,7 +165,8 @@ def leaked_items(documents: DataFrame, items: DataFrame, run: int = RUN, radius:
     """
     spark = documents.sparkSession
     stated = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id IS NOT NULL AND text IS NOT NULL")
-    blocks = max(1, -(-stated.count() // block))
+    n, chars = stated.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    blocks = max(1, -(-n // block), -(-chars // BLOCK_CHARS))
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
     schema = "doc_id bigint, item_id bigint, windows bigint, similarity double"
     out = None

@@ -234,8 +234,8 @@ def test_a_batch_is_appended_once_and_a_broken_attempt_is_never_read(spark, arti
     bodies = texts(30, seed=13)
     store = history.History.create(articles([{"body": b} for b in bodies[:5]]), f"file://{tmp_path}/once")
     batch = _records(spark, [{"record_id": 1, "article_id": "n1", "body": "a b c d e f"}])
-    broken = batch.selectExpr("record_id AS id", "article_id", "content_hash", "canonical_url", "title", "payload")
-    store._add_keys(broken, store._attempt())  # no commit follows
+    broken = batch.selectExpr("record_id AS id", "article_id", "content_hash", "canonical_url")
+    store._add_keys(history._identity_keys(broken), store._attempt())  # no commit follows
     assert rows(store.check(batch)) == [(1, False)]
     store.append(batch, "first")
     store.append(_records(spark, [{"record_id": 2, "article_id": "n2", "body": "g h i j k l"}]), "first")
