@@ -80,6 +80,16 @@ def test_streams(spark, tmp_path):
     assert {r["source_id"]: r["n"] for r in store.read("latest").collect()} == {"s": 3, "t": 4}
 
 
+def test_a_first_printing_is_never_forgotten(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/firsts")
+    sink = editions.first_printing_sink(store, "firsts", ["content_hash"], "published_at")
+    schema = "content_hash string, published_at timestamp, issue string"
+    sink(spark.createDataFrame([("h", datetime(2026, 8, 3), "W2"), ("h", datetime(2026, 8, 1), "W1"), (None, datetime(2026, 8, 1), "W0")], schema), 0)
+    for _ in range(2):  # replayed, a year later
+        sink(spark.createDataFrame([("h", datetime(2027, 8, 3), "W9"), ("k", datetime(2027, 8, 3), "W9")], schema), 1)
+    assert sorted(tuple(r) for r in store.read("firsts").select("content_hash", "issue").collect()) == [("h", "W1"), ("k", "W9")]
+
+
 def test_editions(spark):
     rows = [("e", "b", 1, "a1", "T [x]", "S", "https://a.example/1", datetime(2026, 8, 1), "ok", 80), ("e", "a", 2, "a2", "U", "S", "https://a.example/2", datetime(2026, 8, 1), "see https://x.example", 90), ("e", "b", 3, "a3", "V", "S", "https://a.example/9", datetime(2026, 8, 1), None, 90)]
     items = spark.createDataFrame(rows, "edition_id string, category string, position int, article_id string, title string, source_name string, canonical_url string, published_at timestamp, summary string, final_score int")
