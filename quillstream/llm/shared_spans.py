@@ -8,7 +8,7 @@ a block are shuffled to be joined with the blocks.  A hit fixes two
 texts and the shift between them; comparing both texts character by character at
 that shift extends it to all maximal repeats.
 
-When there are more blocks than the filter can tell apart (MOST_BITS / LOAD, 45
+When there are more blocks than the filter can tell apart (MOST_CELLS / LOAD, 45
 million), the hashes are cut into slices and the windows probed once per slice; what is broadcast stays bounded.
 
 Defined cases: null texts and texts shorter than `least` share nothing; rows without
@@ -30,8 +30,8 @@ from quillstream.runtime import broadcast_if_small, materialize
 #: Characters that a stretch must have; characters handled at once within a task.
 LEAST = 500
 SLICE = 1 << 21
-#: Bits of the filter per block, and its bits at most.
-LOAD, MOST_BITS = 12, 1 << 29
+#: Cells (bits) of the filter per block, and its cells at most.
+LOAD, MOST_CELLS = 12, 1 << 29
 
 
 def _slices(batch: pa.RecordBatch):
@@ -152,12 +152,12 @@ def class_spans(documents: DataFrame, least: int = LEAST) -> tuple[DataFrame, Da
     members, docs = _classes(documents, least)
     blocks = materialize(block_index(docs, size), "p9-blocks")
     n = blocks.count()
-    parts = max(1, -(-n * LOAD // MOST_BITS))
+    parts = max(1, -(-n * LOAD // MOST_CELLS))
     hits = None
     for part in range(parts):
         unsigned = F.col("h").cast("decimal(21,0)") + F.when(F.col("h") < 0, F.lit("18446744073709551616")).otherwise("0").cast("decimal(21,0)")
         mine = blocks if parts == 1 else blocks.where(F.pmod(unsigned, F.lit(parts)) == part)
-        summary = build_filter(mine.select("h"), lambda b: b.column("h").to_numpy().view(np.uint64), filter_bits(-(-n // parts), LOAD, MOST_BITS))
+        summary = build_filter(mine.select("h"), lambda b: b.column("h").to_numpy().view(np.uint64), filter_bits(-(-n // parts), LOAD, MOST_CELLS))
         windows = probing_windows(docs, size, spark.sparkContext.broadcast(summary), part, parts)
         x = mine.select("h", F.col("doc_id").alias("a"), F.col("place").alias("pa"))
         # A text's own blocks are in the filter anyway, and meet other texts' blocks without it.
