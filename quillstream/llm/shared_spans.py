@@ -32,6 +32,8 @@ LEAST = 500
 SLICE = 1 << 21
 #: Cells (bits) of the filter per block, and its cells at most.
 LOAD, MOST_CELLS = 12, 1 << 29
+#: Cells at most of the filter of texts with hits.
+INVOLVED = 1 << 27
 
 
 def _slices(batch: pa.RecordBatch):
@@ -166,7 +168,14 @@ def class_spans(documents: DataFrame, least: int = LEAST) -> tuple[DataFrame, Da
         hits = found if hits is None else hits.unionByName(found)
     hits = materialize(hits.distinct(), "p9-hits")
     involved = materialize(hits.select(F.col("a").alias("doc_id")).union(hits.select("b")).distinct(), "p9-involved")
-    texts = materialize(docs.join(broadcast_if_small(involved, 16), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "p9-texts")
+    # A bit filter names the texts with hits, so that the others aren't shuffled, however many there are.
+    named = spark.sparkContext.broadcast(build_filter(involved, lambda b: b.column("doc_id").to_numpy().view(np.uint64), filter_bits(involved.count(), LOAD, INVOLVED)))
+
+    def with_hits(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(named.value.has(batch.column("doc_id").to_numpy().view(np.uint64))))
+
+    texts = materialize(docs.mapInArrow(with_hits, docs.schema).dropDuplicates(["doc_id"]), "p9-texts")
     a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     spans = hits.join(a, "a").join(b, "b").mapInArrow(_extend(least), "doc_id_a bigint, doc_id_b bigint, start_a bigint, start_b bigint, length bigint")
