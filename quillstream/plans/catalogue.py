@@ -321,8 +321,8 @@ def tfidf_profiles(spark, sf):
 
 
 def _pairs(spark, sf):
-    rows = _candidates(spark, sf)
-    return rows, similarity.similar_pairs(similarity.similarity_profiles(rows), rows.where(F.col("final_score") >= THRESHOLD))
+    rows = similarity.term_rows(_candidates(spark, sf), ("final_score", "published_at"))
+    return rows, similarity.similar_among(rows, F.col("final_score") >= THRESHOLD)
 
 
 @query(_TFIDF + "SELECT x.edition_id, x.article_id AS a, y.article_id AS b, round(sum(x.weight * y.weight), 6) AS cosine FROM pr x JOIN pr y ON x.edition_id = y.edition_id AND x.term = y.term AND x.article_id < y.article_id JOIN c cx ON cx.edition_id = x.edition_id AND cx.article_id = x.article_id AND cx.final_score >= 62 JOIN c cy ON cy.edition_id = y.edition_id AND cy.article_id = y.article_id AND cy.final_score >= 62 GROUP BY 1, 2, 3 HAVING round(sum(x.weight * y.weight), 9) >= 0.21")

@@ -45,7 +45,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str = "t") -> DataFrame:
+def materialize(df: DataFrame, name: str = "t", compression: str = "snappy") -> DataFrame:
     """Write df as Parquet into the shared folder and read it back.
 
     This cuts the lineage and survives the loss of an executor.  The files stay
@@ -53,7 +53,7 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     evaluate frames that read them.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
