@@ -82,3 +82,11 @@ def test_no_table_has_a_row_per_term(spark):
     got, most = _written(spark, lambda: similarity.similar_pairs(similarity.similarity_profiles(df), df.where("final_score >= 62")).collect())
     assert {(r["edition_id"], r["a"], r["b"]) for r in got} == _brute(rows, 62).keys()
     assert most <= len(rows)
+
+
+def test_collapse_stores_no_row_per_term(spark):
+    from quillstream.plans import catalogue
+
+    sf = "/root/testdata/sf0.001"
+    got, most = _written(spark, lambda: catalogue.similar_event_collapse(spark, sf).count())
+    assert got and most <= spark.read.parquet(f"{sf}/ranked_articles.parquet").count()
