@@ -9,7 +9,7 @@ from quillstream.operators import similarity
 from quillstream.operators.dedupe import best_per_event
 from quillstream.operators.scoring import rank_order
 from quillstream.operators.seating import Policy, seat_editions
-from quillstream.runtime import materialize
+from quillstream.runtime import broadcast_if_small, materialize
 
 
 def collapse_order(preferred: str | None = None) -> list[Column]:
@@ -41,7 +41,13 @@ def select_lineups(candidates: DataFrame, policy: Policy, threshold: float | Non
         if name not in have:
             candidates = candidates.withColumn(name, F.lit(None).cast("string"))
     preferred = None if policy.reserved_slots == 0 else policy.reserved_source
-    rows = materialize(candidates.select("edition_id", "article_id", "source_id", "category", "final_score", "published_at", *(["subject"] if "subject" in have else []), "printed_in", "event_key", "title", "text"), "candidates")
+    facts = ("category", "final_score", "published_at", *(["subject"] if "subject" in have else []), "printed_in", "event_key")
+    if threshold is None:
+        rows = materialize(candidates.select("edition_id", "article_id", "source_id", *facts), "candidates")
+    else:
+        # Texts are read here only; what goes on is a packed row of terms each, apart from the facts that the steps sort and join.
+        told = similarity.term_rows(candidates.withColumn("_told", F.col("text").isNotNull()), (*facts, "_told"))
+        rows = told.select("edition_id", "article_id", "source_id", *facts)
     out = [rows.where("printed_in IS NOT NULL").select("edition_id", "article_id", F.lit("already_published").alias("outcome"), F.col("printed_in").alias("detail"))]
     fresh = rows.where("printed_in IS NULL")
     keyed = fresh.withColumn("_event", F.when(F.col("event_key").isNotNull(), F.concat_ws("\x1f", "edition_id", "event_key")))
@@ -52,12 +58,14 @@ def select_lineups(candidates: DataFrame, policy: Policy, threshold: float | Non
         may = F.col("final_score") >= policy.min_score
         if preferred is not None:
             may = may | F.coalesce(F.col("source_id") == preferred, F.lit(False))
-        pairs = similarity.similar_pairs(similarity.similarity_profiles(left.where("text IS NOT NULL")), left.where(may), threshold)
+        before = broadcast_if_small(materialize(rows.where("printed_in IS NOT NULL").unionByName(judged.where("NOT kept").drop("kept")).select("edition_id", "article_id"), "set-aside"))
+        stored = materialize(told.where("_told").join(before, ["edition_id", "article_id"], "left_anti"), "candidate-terms", "zstd")
+        pairs = similarity.similar_among(stored, may, threshold)
         folded = materialize(similarity.collapse_similar(left.select("edition_id", "article_id", "source_id", "final_score", "published_at"), pairs, _collapse_rank(preferred)), "folded")
         gone = folded.where("NOT kept")
         out.append(gone.select("edition_id", "article_id", F.lit("similar_event").alias("outcome"), F.col("survivor").alias("detail")))
         left = left.join(gone.select("edition_id", "article_id"), ["edition_id", "article_id"], "left_anti")
-    seated = seat_editions(left.drop("printed_in", "event_key", "title", "text"), policy)
+    seated = seat_editions(left.drop("printed_in", "event_key"), policy)
     cost = F.when(F.col("detail").isNotNull(), "coverage_floor").otherwise(F.col("outcome"))
     seated = seated.select("edition_id", "article_id", cost.alias("outcome"), "position", "steps", "detail")
     for part in out:

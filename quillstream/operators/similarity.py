@@ -53,7 +53,7 @@ def source_terms(counts: DataFrame, rows: DataFrame, group: str = "edition_id")
 
 def term_rows(rows: DataFrame, keep: tuple[str, ...] = (), group: str = "edition_id") -> DataFrame:
     """(group, article_id, source_id, *keep, n_words, terms, tf), stored: the distinct terms of each row, parted by blanks, and as 32-bit numbers how often each stands in it."""
-    given = rows.where(F.col(group).isNotNull()).select(group, "article_id", "source_id", *keep, content_terms(F.col("title"), F.col("text")).alias("t"))
+    given = rows.select(group, "article_id", "source_id", *keep, content_terms(F.col("title"), F.col("text")).alias("t"))
     plain = [n for n in given.columns if n != "t"]
 
     def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,7 +117,7 @@ def packed_profiles(stored: DataFrame, may: Column | None = None, group: str = "
     Statistics are those of all rows; stubs have no profile.
     """
     unit = unit or UNIT
-    rows = stored.select(F.col(group).alias("g"), "article_id", "source_id", "n_words", "terms", "tf", F.coalesce(F.lit(True) if may is None else may, F.lit(False)).alias("may"))
+    rows = stored.where(F.col(group).isNotNull()).select(F.col(group).alias("g"), "article_id", "source_id", "n_words", "terms", "tf", F.coalesce(F.lit(True) if may is None else may, F.lit(False)).alias("may"))
     sizes = materialize(rows.groupBy("g").agg(F.count("*").alias("total")), "edition-sizes")
     every = int(sizes.agg(F.sum("total")).first()[0] or 0)
     large = sizes.where(F.col("total") > unit).select("g", F.ceil(F.col("total") / unit).alias("_shards"), "total")

@@ -90,3 +90,19 @@ def test_collapse_stores_no_row_per_term(spark):
     sf = "/root/testdata/sf0.001"
     got, most = _written(spark, lambda: catalogue.similar_event_collapse(spark, sf).count())
     assert got and most <= spark.read.parquet(f"{sf}/ranked_articles.parquet").count()
+
+
+def _lines(spark, df):
+    """What each line-up step stores beside the terms: the columns of all tables, by name of the table."""
+    app = spark.sparkContext.applicationId
+    before = len(runtime._tables.get(app, []))
+    df()
+    return {p.rsplit("/", 1)[1].rsplit("-", 1)[0]: set(spark.read.parquet(p).columns) for p in runtime._tables[app][before:]}
+
+
+def test_lineup_steps_carry_no_texts(spark):
+    from quillstream.plans import catalogue
+
+    stored = _lines(spark, lambda: catalogue.select_editions(spark, "/root/testdata/sf0.001"))
+    assert not [name for name, columns in stored.items() if "text" in columns]
+    assert {name for name, columns in stored.items() if columns & {"terms", "term"}} <= {"terms", "candidate-terms", "profiles"}
