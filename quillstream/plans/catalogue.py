@@ -456,18 +456,18 @@ def _lineups(spark, sf, policy=POLICY):
     keyed = events.select("article_id", text.event_key(F.col("e.event_subject"), F.col("e.event_object")).alias("event_key"))
     rows = T.ranked(spark, sf).join(texts, "article_id", "left").join(by_id, "article_id", "left").join(keyed, "article_id", "left")
     rows = rows.withColumn("printed_in", F.when(F.col("_first") < issue, F.col("_first")))
-    return rows, selection.select_lineups(rows, policy)
+    return selection.select_lineups(rows, policy)
 
 
 @query()
 def select_editions(spark, sf):
-    return _lineups(spark, sf)[1]
+    return _lineups(spark, sf)
 
 
 @query()
 def lineup_summary(spark, sf):
-    rows, lineups = _lineups(spark, sf)
-    return selection.lineup_summary(rows, lineups, POLICY)
+    # The ranked rows are all candidates; those of the line-ups would join every text again.
+    return selection.lineup_summary(T.ranked(spark, sf), _lineups(spark, sf), POLICY)
 
 
 @query(f"WITH {SQL_RANKED} SELECT edition_id, count(*) AS candidates, count(*) FILTER (final_score >= 62 AND category IS NOT NULL AND category NOT IN ('other', '')) AS above_threshold FROM rk GROUP BY 1")

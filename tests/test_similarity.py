@@ -106,3 +106,10 @@ def test_lineup_steps_carry_no_texts(spark):
     stored = _lines(spark, lambda: catalogue.select_editions(spark, "/root/testdata/sf0.001"))
     assert not [name for name, columns in stored.items() if "text" in columns]
     assert {name for name, columns in stored.items() if columns & {"terms", "term"}} <= {"terms", "candidate-terms", "profiles"}
+
+
+def test_summary_does_not_join_texts_again(spark):
+    from quillstream.plans import catalogue
+
+    plan = catalogue.lineup_summary(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "clean_text" not in plan
