@@ -466,7 +466,7 @@ def select_editions(spark, sf):
 
 @query()
 def lineup_summary(spark, sf):
-    # The ranked rows are all candidates; those of the line-ups would join every text again.
+    # The ranked rows are all candidates; the columns joined to them for the line-ups aren't needed.
     return selection.lineup_summary(T.ranked(spark, sf), _lineups(spark, sf), POLICY)
 
 
