@@ -39,10 +39,12 @@ from quillstream.llm import near_duplicates as near
 from quillstream.llm import packed as P
 from quillstream.llm.common import payload_text
 from quillstream.operators.greedy import greedy_keep
-from quillstream.runtime import materialize, scratch_path
+from quillstream.runtime import materialize, scratch_path, shuffles_released
 
 #: Files that a bucketed table is cut into per append: one for about so many elements.
 PER_FILE, MOST_FILES = 1 << 22, 4096
+#: Meetings of a slice of a batch for each entry of history and batch, and that a slice may have anyway, both counted before sizes and places rule meetings out.
+PER_ENTRY, LEAST_MET = 8, 1 << 24
 _PART = 8 << 20
 
 
@@ -176,7 +178,8 @@ class History:
 
     def _insert(self, name: str, rows: DataFrame, by: str) -> None:
         table = self._bucketed(name)
-        rows.repartition(self._files, by).write.insertInto(table)
+        with shuffles_released(self.spark):
+            rows.repartition(self._files, by).write.insertInto(table)
 
     def _table(self, name: str) -> DataFrame:
         table = self._bucketed(name)
@@ -207,7 +210,7 @@ class History:
         keys = materialize(_identity_keys(rows), "p2-keys")
         held = keys.join(self._table("keys").select("key"), "key", "left_semi").select("id")
         # Near agreement: new against old and new against new.  Copies of an old text meet it as themselves.
-        short = materialize(self._meet(sets), "p2-candidates")
+        short = self._meet(sets)
         mine = materialize(classes.select("class_id").distinct(), "p2-classes")
         stored = self._sets()
         old_classes = stored.select("class_id").distinct()
@@ -233,24 +236,50 @@ class History:
         return result, texts, keys
 
     def _meet(self, sets: DataFrame) -> DataFrame:
-        """(a, b, old), short identifiers: candidates b of the batch, and a of the history if old and else of the batch."""
+        """(a, b, old), short identifiers: candidates b of the batch, and a of the history if old and else of the batch.
+
+        Meetings grow as the history times the batch.  They are gathered slice by slice of the
+        batch's classes, each slice's shuffle given back before the next.
+        """
         order, t = self.order, self.t
         # A history's entry must meet the batch's, whatever it has met before, so that single elements stay.
-        fresh = near.packed_entries(sets, order, t)
-
-        def per_bucket(key: tuple, stored: Iterator[pa.RecordBatch], new: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            y = near._tidy(P.joined(P.blobs_of(new), 4))
-            if not len(y[0]):
-                return
-            for old, x in ((True, near._tidy(P.joined(P.blobs_of(stored), 4))), (False, None)):
-                met = near._meetings(y, x, order.value, t) if old else near._meetings(y, None, order.value, t)
-                for out in near.scatter_meetings(met, order.value):
-                    yield pa.RecordBatch.from_arrays([out.column("bucket"), out.column("data"), pa.array(np.full(out.num_rows, old))], ["bucket", "data", "old"])
-
-        met = self._table("blocks").groupBy("bucket").cogroup(fresh.groupBy("bucket")).applyInArrow(_tables(per_bucket), f"{P.SCHEMA}, old boolean")
-        met = materialize(met, "p2-met")
-        old = near.gather_pairs(met.where("old").drop("old"), order).select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit(True).alias("old"))
-        return old.unionByName(near.gather_pairs(met.where("NOT old").drop("old"), order).withColumn("old", F.lit(False)))
+        fresh = materialize(near.packed_entries(sets, order, t), "p2-entries")
+        stored = self._table("blocks")
+        slices = self._slices(stored, fresh)
+
+        def met_in(no: int) -> DataFrame:
+            def per_bucket(key: tuple, stored: Iterator[pa.RecordBatch], new: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                every = near._tidy(P.joined(P.blobs_of(new), 4))
+                mine = [c[every[1] % np.uint64(slices) == no] for c in every]
+                if not len(mine[0]):
+                    return
+                theirs = P.joined(P.blobs_of(stored), 4)
+                at = np.minimum(np.searchsorted(mine[0], theirs[0]), len(mine[0]) - 1)
+                theirs = [c[mine[0][at] == theirs[0]] for c in theirs]
+                for old, x in ((True, near._tidy(theirs)), (False, None if slices == 1 else every)):
+                    for out in near.scatter_meetings(near._meetings(mine, x, order.value, t, ascending=not old and slices > 1), order.value):
+                        yield pa.RecordBatch.from_arrays([out.column("bucket"), out.column("data"), pa.array(np.full(out.num_rows, old))], ["bucket", "data", "old"])
+
+            met = stored.groupBy("bucket").cogroup(fresh.groupBy("bucket")).applyInArrow(_tables(per_bucket), f"{P.SCHEMA}, old boolean")
+            return materialize(near.gather_pairs(met, order, "old"), "p2-met")
+
+        found = met_in(0)
+        for no in range(1, slices):
+            found = found.unionByName(met_in(no))
+        return found.select(F.when(F.col("old"), F.col("b")).otherwise(F.col("a")).alias("a"), F.when(F.col("old"), F.col("a")).otherwise(F.col("b")).alias("b"), "old")
+
+    def _slices(self, stored: DataFrame, fresh: DataFrame) -> int:
+        """Slices of the batch so that the meetings of one are hardly more than `PER_ENTRY` times the entries, or `LEAST_MET`."""
+
+        def per_bucket(key: tuple, stored: pa.Table, new: pa.Table) -> pa.Table:
+            x, y = (np.sort(P.joined(P.blobs_of(side.to_batches()), 1)[0]) for side in (stored, new))
+            met = sum(int((np.searchsorted(side, y, "right") - np.searchsorted(side, y)).sum()) for side in (x, y))
+            return pa.table({"entries": pa.array([len(x) + len(y)]), "met": pa.array([met])})
+
+        counted = stored.groupBy("bucket").cogroup(fresh.groupBy("bucket")).applyInArrow(per_bucket, "entries bigint, met bigint")
+        with shuffles_released(self.spark):
+            sums = counted.agg(F.sum("entries").alias("entries"), F.sum("met").alias("met")).first()
+        return -(-max(1, sums["met"] or 0) // max(LEAST_MET, PER_ENTRY * (sums["entries"] or 0)))
 
 
 def _tables(per_bucket):

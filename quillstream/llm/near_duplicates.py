@@ -313,10 +313,11 @@ def _tidy(columns: list[np.ndarray]) -> list[np.ndarray]:
     return [c[new] for c in columns]
 
 
-def _meetings(x: list[np.ndarray], y: list[np.ndarray] | None, order: Order, t: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _meetings(x: list[np.ndarray], y: list[np.ndarray] | None, order: Order, t: float, ascending: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(pair, share) of entries of x with later ones of x, or with those of y; both in the order of `_tidy`.
 
     A meeting counts for its share of those the pair needs, so that one sum tells.
+    ascending: only those with entries of y whose class is greater, for x that are some of the entries of y.
     """
     within = y is None
     y = x if within else y
@@ -343,7 +344,7 @@ def _meetings(x: list[np.ndarray], y: list[np.ndarray] | None, order: Order, t:
         pi, pj = x[3][i].astype(np.int64), y[3][j].astype(np.int64)
         meet = np.minimum(MEET, overlap)
         listed = (pi > 0) & (pj > 0) & (np.maximum(n, m) > order.light) & (pi <= n - overlap + meet) & (pj <= m - overlap + meet)
-        ok = (listed | ((pi == 0) & (pj == 0))) & (x[1][i] != y[1][j])
+        ok = (listed | ((pi == 0) & (pj == 0))) & (x[1][i] < y[1][j] if ascending else x[1][i] != y[1][j])
         i, j, meet, pi = i[ok], j[ok], meet[ok], pi[ok]
         a, b = x[1][i], y[1][j]
         if within:
@@ -363,8 +364,8 @@ def scatter_meetings(chunks, order: Order) -> Iterator[pa.RecordBatch]:
     return P.scatter(chunks, 2 * order.id_bits, order.buckets, _capped)
 
 
-def gather_pairs(met: DataFrame, order) -> DataFrame:
-    """(a, b), short identifiers: the pairs that met often enough, from the (bucket, data) of `scatter_meetings`."""
+def gather_pairs(met: DataFrame, order, apart: str | None = None) -> DataFrame:
+    """(a, b), short identifiers: the pairs that met often enough, from the (bucket, data) of `scatter_meetings`; for each value of a boolean column `apart`, which is then given too."""
 
     def per_bucket(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair, share = P.joined(P.blobs_of(batches), 2)
@@ -373,9 +374,12 @@ def gather_pairs(met: DataFrame, order) -> DataFrame:
         bits = order.value.id_bits
         mask = np.uint64((1 << 2 * bits) - 1)
         pair = pair[share >= WHOLE] * np.uint64(pow(_ODD, -1, 1 << 64)) & mask
-        yield pa.RecordBatch.from_arrays([pa.array((pair >> np.uint64(bits)).view(np.int64)), pa.array((pair & np.uint64((1 << bits) - 1)).view(np.int64))], ["a", "b"])
+        out = {"a": pa.array((pair >> np.uint64(bits)).view(np.int64)), "b": pa.array((pair & np.uint64((1 << bits) - 1)).view(np.int64))}
+        if apart:
+            out[apart] = pa.array(np.full(len(pair), key[1].as_py(), bool))
+        yield pa.RecordBatch.from_pydict(out)
 
-    return met.groupBy("bucket").applyInArrow(per_bucket, "a bigint, b bigint")
+    return met.groupBy("bucket", *([apart] if apart else [])).applyInArrow(per_bucket, "a bigint, b bigint" + (f", {apart} boolean" if apart else ""))
 
 
 def candidate_pairs(sets: DataFrame, order, t: float = SIMILARITY) -> DataFrame:

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +47,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Whether a query that has ended gives its shuffle files back.
+_RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def shuffles_released(spark: SparkSession) -> Iterator[None]:
+    """What is written inside gives its shuffle files back once it is written; else they stay until the driver happens to collect its garbage."""
+    before = spark.conf.get(_RELEASE, "false")
+    spark.conf.set(_RELEASE, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_RELEASE, before)
+
+
 def materialize(df: DataFrame, name: str = "t", compression: str = "snappy") -> DataFrame:
     """Write df as Parquet into the shared folder and read it back.
 
@@ -53,7 +70,8 @@ def materialize(df: DataFrame, name: str = "t", compression: str = "snappy") ->
     evaluate frames that read them.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", compression).parquet(path)
+    with shuffles_released(df.sparkSession):
+        df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -2,9 +2,11 @@
 
 import random
 import re
+import time
 
 import numpy as np
 
+from quillstream import runtime
 from quillstream.llm import history, near_duplicates, packed, page_content, repeated_lines
 from tests.llm.conftest import payload
 
@@ -247,3 +249,32 @@ def test_records_without_anything_and_empty_tables(spark, articles):
     new = [{"record_id": 1}, {"record_id": 2}, {"record_id": 3, "url": "not a url"}, {"record_id": 4, "url": "not a url", "payload": "{"}]
     assert rows(history.held_records(articles([]), _records(spark, new))) == [(i, False) for i in (1, 2, 3, 4)]
     assert history.held_records(articles([{"body": "a b c d"}]), _records(spark, [])).count() == 0
+
+
+def test_meetings_in_slices_give_the_same_rows_and_store_pairs_only(spark, articles, texts, monkeypatch):
+    bodies = texts(150, seed=9)
+    old = [{"article_id": f"a{i:03}", "title": "", "body": b} for i, b in enumerate(bodies[:60])]
+    new = [{"record_id": i, "batch_no": 1 + i % 4, "article_id": f"b{i}", "body": b} for i, b in enumerate(bodies[60:])]
+    monkeypatch.setattr(history, "LEAST_MET", 1)
+    monkeypatch.setattr(history, "PER_ENTRY", 1)
+    app = spark.sparkContext.applicationId
+    before = len(runtime._tables.get(app, []))
+    got = history.held_records(articles(old), _records(spark, new)).where("held").collect()
+    assert sorted(r["record_id"] for r in got) == _brute(old, new)
+    met = [spark.read.parquet(p) for p in runtime._tables[app][before:] if "/p2-met-" in p]
+    # Pairs of two records, from several slices; what met too seldom is nowhere stored.
+    assert len(met) > 1 and all(sorted(df.columns) == ["a", "b", "old"] for df in met)
+    pairs = [tuple(r) for df in met for r in df.collect()]
+    assert len(pairs) == len(set(pairs)) and {True, False} == {p[2] for p in pairs}
+
+
+def test_a_stored_table_leaves_no_shuffle_behind(spark):
+    def files():
+        return set(re.findall(r"shuffle_\d+_\d+_\d+\.data", spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ")))
+
+    before = files()
+    stored = runtime.materialize(spark.range(1000).selectExpr("id % 7 AS k").groupBy("k").count(), "k")
+    until = time.time() + 10  # files are removed in the background
+    while files() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not files() - before and stored.count() == 7
