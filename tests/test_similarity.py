@@ -1,7 +1,9 @@
 """Similar reports without a stored or shuffled row per term: results by brute force, and how much is written."""
 
 import math
+import os
 import random
+import time
 from collections import Counter, defaultdict
 
 import pytest
@@ -107,3 +109,21 @@ def test_lineup_steps_carry_no_texts(spark, name):
     stored = _lines(spark, lambda: getattr(catalogue, name)(spark, "/root/testdata/sf0.001"))
     assert not [name for name, columns in stored.items() if "text" in columns]
     assert {name for name, columns in stored.items() if columns & {"terms", "term"}} <= {"terms", "candidate-terms", "profiles"}
+
+
+def test_collapse_gives_its_shuffles_back(spark):
+    from quillstream.plans import catalogue
+
+    def files():
+        found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n")
+        return {p for p in found if os.path.basename(p).startswith("shuffle_") and p.endswith(".data")}
+
+    before = files()
+    catalogue.similar_event_collapse(spark, "/root/testdata/sf0.001")
+    terms = next(p for p in reversed(runtime._tables[spark.sparkContext.applicationId]) if "/terms-" in p).removeprefix("file://")
+    most = sum(os.path.getsize(os.path.join(terms, n)) for n in os.listdir(terms) if n.endswith(".parquet")) / 4
+    until = time.time() + 10  # files are removed in the background
+    while (left := sum(os.path.getsize(p) for p in files() - before if os.path.exists(p))) > most and time.time() < until:
+        time.sleep(0.1)
+    # All that was shuffled before the last step, texts and profiles included; counts may stay.
+    assert left <= most
