@@ -6,12 +6,14 @@ its unit; the rows of a larger one are spread over several, whose counts are put
 (edition, term) first.  Weights never leave their row.  For the pairs, an edition's
 rows are cut into blocks and each pair of blocks meets in one task: products of dense columns for frequent terms,
 products term by term for rare ones, both in single precision, propose the pairs, whose
-cosine is then summed in double precision.
+cosine is then summed in double precision.  Where the pairs only serve a choice among the rows (`fold_similar`),
+a task gives the later partners of each row as one value, so that no pair is a row.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import ROUND_CEILING, Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -51,9 +53,9 @@ def source_terms(counts: DataFrame, rows: DataFrame, group: str = "edition_id")
 # -- packed rows -----------------------------------------------------------------------
 
 
-def term_rows(rows: DataFrame, keep: tuple[str, ...] = (), group: str = "edition_id") -> DataFrame:
-    """(group, article_id, source_id, *keep, n_words, terms, tf), stored: the distinct terms of each row, parted by blanks, and as 32-bit numbers how often each stands in it."""
-    given = rows.select(group, "article_id", "source_id", *keep, content_terms(F.col("title"), F.col("text")).alias("t"))
+def packed_terms(rows: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """(*keep, n_words, terms, tf): the distinct terms of each row, parted by blanks, and as 32-bit numbers how often each stands in it."""
+    given = rows.select(*keep, content_terms(F.col("title"), F.col("text")).alias("t"))
     plain = [n for n in given.columns if n != "t"]
 
     def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,7 +71,13 @@ def term_rows(rows: DataFrame, keep: tuple[str, ...] = (), group: str = "edition
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in plain), pa.array(words, pa.int32()), terms, _numbers(tf, size, np.int32)], [*plain, "n_words", "terms", "tf"])
 
     kinds = {f.name: f.dataType.simpleString() for f in given.schema}
-    return materialize(given.mapInArrow(per_task, ", ".join([*(f"{n} {kinds[n]}" for n in plain), "n_words int", "terms string", "tf binary"])), "terms", "zstd")
+    return given.mapInArrow(per_task, ", ".join([*(f"{n} {kinds[n]}" for n in plain), "n_words int", "terms string", "tf binary"]))
+
+
+def term_rows(rows: DataFrame, keep: tuple[str, ...] = (), group: str = "edition_id") -> DataFrame:
+    """(group, article_id, source_id, *keep, n_words, terms, tf), stored: `packed_terms` of rows with title and text, or, where they have terms, the rows as they are."""
+    plain = (group, "article_id", "source_id", *keep)
+    return materialize(rows.select(*plain, "n_words", "terms", "tf") if "terms" in rows.columns else packed_terms(rows, plain), "terms", "zstd")
 
 
 def _lists(values: pa.Array, size: np.ndarray) -> pa.Array:
@@ -105,23 +113,23 @@ def _codes(column: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
 # -- weights -----------------------------------------------------------------------------
 
 
-def _unit(group: str, n: int) -> Column:
+def _unit(group: str, n: int, ident: str) -> Column:
     """The unit of a row: small editions share n of them, a large one has `_shards` of its own."""
-    own = F.xxhash64(group, F.pmod(F.xxhash64("article_id"), F.col("_shards")))
+    own = F.xxhash64(group, F.pmod(F.xxhash64(ident), F.col("_shards")))
     return F.when(F.col("_shards").isNull(), F.pmod(F.xxhash64(group), F.lit(n))).otherwise(own)
 
 
-def packed_profiles(stored: DataFrame, may: Column | None = None, group: str = "edition_id", unit: int | None = None) -> DataFrame:
-    """(group, article_id, terms, df, weight): L2-normalised weights (64-bit floats) and the rows each term stands in (64-bit numbers), of the rows of `term_rows` that `may` holds for.
+def packed_profiles(stored: DataFrame, may: Column | None = None, group: str = "edition_id", unit: int | None = None, ident: str = "article_id") -> DataFrame:
+    """(group, ident, terms, df, weight): L2-normalised weights (64-bit floats) and the rows each term stands in (64-bit numbers), of the rows of `term_rows` that `may` holds for.
 
     Statistics are those of all rows; stubs have no profile.
     """
     unit = unit or UNIT
-    rows = stored.where(F.col(group).isNotNull()).select(F.col(group).alias("g"), "article_id", "source_id", "n_words", "terms", "tf", F.coalesce(F.lit(True) if may is None else may, F.lit(False)).alias("may"))
+    rows = stored.where(F.col(group).isNotNull()).select(F.col(group).alias("g"), ident, "source_id", "n_words", "terms", "tf", F.coalesce(F.lit(True) if may is None else may, F.lit(False)).alias("may"))
     sizes = materialize(rows.groupBy("g").agg(F.count("*").alias("total")), "edition-sizes")
     every = int(sizes.agg(F.sum("total")).first()[0] or 0)
     large = sizes.where(F.col("total") > unit).select("g", F.ceil(F.col("total") / unit).alias("_shards"), "total")
-    placed = rows.join(broadcast_if_small(large), "g", "left").withColumn("unit", _unit("g", max(1, -(-every // unit))))
+    placed = rows.join(broadcast_if_small(large), "g", "left").withColumn("unit", _unit("g", max(1, -(-every // unit)), ident))
     spread = placed.where("_shards IS NOT NULL AND terms <> ''")
 
     def count(key: tuple, table: pa.Table) -> pa.Table:
@@ -172,10 +180,10 @@ def packed_profiles(stored: DataFrame, may: Column | None = None, group: str = "
         size = size[have]
         out = table.take(pa.array(have))
         terms = pc.binary_join(_lists(names.take(pa.array(code)), size), " ")
-        return pa.table({"g": out.column("g"), "article_id": out.column("article_id"), "terms": terms, "df": _numbers(df, size, np.int64), "weight": _numbers(weight, size, np.float64)})
+        return pa.table({"g": out.column("g"), ident: out.column(ident), "terms": terms, "df": _numbers(df, size, np.int64), "weight": _numbers(weight, size, np.float64)})
 
-    mine = placed.select("unit", "g", "article_id", "source_id", "n_words", "terms", "tf", "may", F.col("total").cast("double").alias("total"))
-    weighed = mine.groupBy("unit").cogroup(told.groupBy("unit")).applyInArrow(weigh, "g string, article_id string, terms string, df binary, weight binary")
+    mine = placed.select("unit", "g", ident, "source_id", "n_words", "terms", "tf", "may", F.col("total").cast("double").alias("total"))
+    weighed = mine.groupBy("unit").cogroup(told.groupBy("unit")).applyInArrow(weigh, f"g string, {ident} {dict(stored.dtypes)[ident]}, terms string, df binary, weight binary")
     return weighed.withColumnRenamed("g", group)
 
 
@@ -263,53 +271,86 @@ def _alike(row: np.ndarray, code: np.ndarray, weight: np.ndarray, v: int, left:
                 yield a[m], b[m], cosine[m]
 
 
-def packed_pairs(profiles: DataFrame, threshold: float = THRESHOLD, group: str = "edition_id", block: int | None = None) -> DataFrame:
-    """(group, a, b, cosine), a < b, of all rows of one edition in packed profiles (group, article_id, terms, weight) whose cosine reaches the threshold."""
+def _meetings(profiles: DataFrame, group: str, ident: str, block: int | None) -> DataFrame:
+    """(task, g, ident, terms, weight, own, i, j): every row of packed profiles once for each pair of blocks that its own meets in."""
     least = block or LEAST_BLOCK
-    mine = materialize(profiles.where(F.col(group).isNotNull() & F.col("article_id").isNotNull()).select(F.col(group).alias("g"), "article_id", "terms", "weight"), "profiles", "zstd")
+    mine = materialize(profiles.where(F.col(group).isNotNull() & F.col(ident).isNotNull()).select(F.col(group).alias("g"), ident, "terms", "weight"), "profiles", "zstd")
     sizes = materialize(mine.groupBy("g").agg(F.count("*").alias("n")), "profile-sizes")
     every = int(sizes.agg(F.sum("n")).first()[0] or 0)
     per_block = F.least(F.greatest(F.ceil(F.col("n") / BLOCKS), F.lit(least)), F.lit(max(least, MOST_BLOCK)))
     large = sizes.where(F.col("n") > 2 * least).select("g", F.ceil(F.col("n") / per_block).cast("int").alias("_blocks"))
     placed = mine.join(broadcast_if_small(large), "g", "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
-    placed = placed.withColumn("own", F.pmod(F.xxhash64("article_id"), F.col("_blocks")).cast("int"))
+    placed = placed.withColumn("own", F.pmod(F.xxhash64(ident), F.col("_blocks")).cast("int"))
     spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     spread = spread.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
     task = F.when(F.col("_blocks") == 1, F.pmod(F.xxhash64("g"), F.lit(max(1, -(-every // least))))).otherwise(F.xxhash64("g", "i", "j"))
+    return spread.select(task.alias("task"), "g", ident, "terms", "weight", "own", "i", "j")
+
+
+def _met(table: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, row, cosine) of the rows of one task's meetings that about reach the threshold."""
+    row, code, names, weight = _unpacked(table, "weight", np.float64)
+    v = max(1, len(names))
+    o = np.argsort(row * v + code, kind="stable")
+    row, code, weight = row[o], code[o], weight[o]
+    g = _codes(table.column("g"))[0]
+    own, i, j = (table.column(c).to_numpy().astype(np.int64) for c in ("own", "i", "j"))
+    a, b, cosine = [], [], []
+    order = np.lexsort((own, j, i, g))
+    cut = np.flatnonzero((np.diff(g[order], prepend=-1) != 0) | (np.diff(i[order], prepend=-1) != 0) | (np.diff(j[order], prepend=-1) != 0)).tolist()
+    for s, e in zip(cut, [*cut[1:], len(order)]):
+        rows = np.sort(order[s:e])
+        first, last = i[rows[0]], j[rows[0]]
+        # Few rows of many: their own terms are numbered anew, so that work goes by their number.
+        lo = np.concatenate([np.arange(x, y) for x, y in zip(np.searchsorted(row, rows), np.searchsorted(row, rows + 1))])
+        terms, c = np.unique(code[lo], return_inverse=True)
+        r = np.searchsorted(rows, row[lo])
+        left, right = (np.flatnonzero(own[rows] == k) for k in (first, last))
+        for x, y, z in _alike(r, c, weight[lo], max(1, len(terms)), left, None if first == last else right, threshold):
+            a.append(rows[x])
+            b.append(rows[y])
+            cosine.append(z)
+    a, b = (np.concatenate([np.zeros(0, np.int64), *k]) for k in (a, b))
+    return a, b, np.concatenate([np.zeros(0), *cosine])
+
+
+def packed_pairs(profiles: DataFrame, threshold: float = THRESHOLD, group: str = "edition_id", block: int | None = None) -> DataFrame:
+    """(group, a, b, cosine), a < b, of all rows of one edition in packed profiles (group, article_id, terms, weight) whose cosine reaches the threshold."""
 
     def meet(key: tuple, table: pa.Table) -> pa.Table:
-        row, code, names, weight = _unpacked(table, "weight", np.float64)
-        v = max(1, len(names))
-        o = np.argsort(row * v + code, kind="stable")
-        row, code, weight = row[o], code[o], weight[o]
-        g = _codes(table.column("g"))[0]
-        ids = _whole(table.column("article_id"))
-        own, i, j = (table.column(c).to_numpy().astype(np.int64) for c in ("own", "i", "j"))
-        a, b, cosine = [], [], []
-        order = np.lexsort((own, j, i, g))
-        cut = np.flatnonzero((np.diff(g[order], prepend=-1) != 0) | (np.diff(i[order], prepend=-1) != 0) | (np.diff(j[order], prepend=-1) != 0)).tolist()
-        for s, e in zip(cut, [*cut[1:], len(order)]):
-            rows = np.sort(order[s:e])
-            first, last = i[rows[0]], j[rows[0]]
-            # Few rows of many: their own terms are numbered anew, so that work goes by their number.
-            lo = np.concatenate([np.arange(x, y) for x, y in zip(np.searchsorted(row, rows), np.searchsorted(row, rows + 1))])
-            terms, c = np.unique(code[lo], return_inverse=True)
-            r = np.searchsorted(rows, row[lo])
-            left, right = (np.flatnonzero(own[rows] == k) for k in (first, last))
-            for x, y, z in _alike(r, c, weight[lo], max(1, len(terms)), left, None if first == last else right, threshold):
-                a.append(rows[x])
-                b.append(rows[y])
-                cosine.append(z)
-        a, b = (pa.array(np.concatenate([np.zeros(0, np.int64), *k])) for k in (a, b))
+        a, b, cosine = _met(table, threshold)
+        a, b, ids = pa.array(a), pa.array(b), _whole(table.column("article_id"))
         of = _whole(table.column("g")).take(a)
         a, b = ids.take(a), ids.take(b)
         later = pc.less(a, b)
-        return pa.table({"g": of, "a": pc.if_else(later, a, b), "b": pc.if_else(later, b, a), "cosine": pa.array(np.concatenate([np.zeros(0), *cosine]))})
+        return pa.table({"g": of, "a": pc.if_else(later, a, b), "b": pc.if_else(later, b, a), "cosine": pa.array(cosine)})
 
-    met = spread.select(task.alias("task"), "g", "article_id", "terms", "weight", "own", "i", "j").groupBy("task").applyInArrow(meet, "g string, a string, b string, cosine double")
+    met = _meetings(profiles, group, "article_id", block).groupBy("task").applyInArrow(meet, "g string, a string, b string, cosine double")
     return met.where(F.round("cosine", 9) >= threshold).select(F.col("g").alias(group), "a", "b", F.round("cosine", 6).alias("cosine"))
 
 
+def _rounded_least(threshold: float) -> float:
+    """The least number that reaches the threshold once it is rounded to 9 places, half up."""
+    return float(Decimal(repr(threshold)).quantize(Decimal("1e-9"), ROUND_CEILING) - Decimal("5e-10"))
+
+
+def packed_links(profiles: DataFrame, number: str, threshold: float = THRESHOLD, group: str = "edition_id", block: int | None = None) -> DataFrame:
+    """(g, lo, his): the pairs of `packed_pairs` by the rows' numbers, those with a larger number than lo as 64-bit numbers of one value; a row for each lo and task that has any."""
+    least = _rounded_least(threshold)
+
+    def meet(key: tuple, table: pa.Table) -> pa.Table:
+        a, b, cosine = _met(table, threshold)
+        m = cosine >= least
+        a, b, n = a[m], b[m], table.column(number).to_numpy()
+        lo, hi = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
+        o = np.lexsort((hi, lo))
+        first = np.flatnonzero(np.diff(lo[o], prepend=-1))
+        size = np.diff(first, append=len(o))
+        return pa.table({"g": _whole(table.column("g")).take(pa.array(a[o][first])), "lo": pa.array(lo[o][first]), "his": _numbers(hi[o], size, np.int64)})
+
+    return _meetings(profiles, group, number, block).groupBy("task").applyInArrow(meet, "g string, lo bigint, his binary")
+
+
 def similar_among(stored: DataFrame, may: Column, threshold: float = THRESHOLD, group: str = "edition_id") -> DataFrame:
     """(group, a, b, cosine), a < b, of the rows of `term_rows` that `may` holds for and whose cosine reaches the threshold; the statistics behind their weights are those of all rows."""
     return packed_pairs(packed_profiles(stored, may, group), threshold, group)
@@ -330,6 +371,34 @@ def similar_pairs(profiles: DataFrame, eligible: DataFrame, threshold: float = T
     return packed_pairs(lists.mapInArrow(pack, f"{group} string, article_id string, terms string, weight binary"), threshold, group)
 
 
+def fold_similar(stored: DataFrame, of: Column, may: Column, number: str, threshold: float = THRESHOLD, group: str = "edition_id") -> DataFrame:
+    """`collapse_similar` of the rows of `term_rows` that `of` holds for; those that also `may` holds for are folded.
+
+    number: the rows' order, no number below 0 and none twice, whatever the group.  A group's links go through one task in this order, a batch
+    at a time, which holds a byte for each number; the first kept row that meets another one is what that is folded into.
+    """
+    links = materialize(packed_links(packed_profiles(stored, of & may, group, ident=number), number, threshold, group), "links", "zstd")
+    last = int(stored.agg(F.max(number)).first()[0] or 0)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lost = np.zeros(last + 1, bool)
+        for batch in batches:
+            gone, into = [], []
+            for lo, his in zip(batch.column("lo").to_pylist(), batch.column("his")):
+                if not lost[lo]:
+                    hi = np.frombuffer(his.as_buffer(), np.int64)
+                    hi = hi[~lost[hi]]
+                    lost[hi] = True
+                    gone.append(hi)
+                    into.append(np.full(len(hi), lo))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in (gone, into)], [number, "into"])
+
+    lost = materialize(links.repartition("g").sortWithinPartitions("g", "lo").mapInArrow(choose, f"{number} bigint, into bigint"), "folded-rows")
+    names = stored.select(F.col(number).alias("into"), F.col("article_id").alias("survivor"))
+    into = lost.join(names, "into").select(number, "survivor")
+    return stored.where(of).join(into, number, "left").select(group, "article_id", F.col("survivor").isNull().alias("kept"), "survivor")
+
+
 def collapse_similar(rows: DataFrame, pairs: DataFrame, rank: Column, group: str = "edition_id") -> DataFrame:
     """(group, article_id, kept, survivor): each article not kept is folded into the first kept one it is similar to."""
     ident = F.concat_ws("\x1f", group, "article_id")

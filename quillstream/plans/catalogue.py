@@ -332,9 +332,13 @@ def similar_pairs(spark, sf):
 
 @query()
 def similar_event_collapse(spark, sf):
-    rows, pairs = _pairs(spark, sf)
-    rank = F.struct((-F.col("final_score")).alias("s"), F.unix_micros(F.col("published_at").cast("timestamp")).alias("t"), "article_id")
-    return similarity.collapse_similar(rows.where(F.col("final_score").isNotNull()), pairs, rank)
+    order = [(-F.col("final_score")).asc_nulls_first(), F.col("published_at").cast("timestamp").asc_nulls_first(), F.col("article_id"), F.col("edition_id")]
+    ranked = pool.positions(T.ranked(spark, sf).select("edition_id", "article_id", "source_id", "final_score", "published_at"), order, "n")
+    # Texts are packed as they are read: the choice of the latest row and the join move terms only.
+    saved = T.saved_articles(spark, sf, text=True).withColumn("told", F.col("text").isNotNull())
+    packed = T.latest_articles(similarity.packed_terms(saved, ("article_id", "retrieved_at", "content_hash", "told")), ["told", "n_words", "terms", "tf"]).where("told")
+    rows = similarity.term_rows(ranked.join(packed, "article_id"), ("final_score", "n"))
+    return similarity.fold_similar(rows, F.col("final_score").isNotNull(), F.col("final_score") >= THRESHOLD, "n")
 
 
 # -- line-ups ------------------------------------------------------------------------------

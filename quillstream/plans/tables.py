@@ -15,18 +15,27 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def articles(spark: SparkSession, sf: str, text: bool = False) -> DataFrame:
-    """The latest row of each article; with the text (null if the payload doesn't parse) only on demand."""
-    cols = ["source_id", "canonical_url", "title", "published_at", "content_hash", "retrieved_at", "first_seen_at"]
+def saved_articles(spark: SparkSession, sf: str, text: bool = False) -> DataFrame:
+    """Every row of every article; with the text (null if the payload doesn't parse) only on demand."""
     rows = table(spark, sf, "articles").where("article_id IS NOT NULL")
     if text:
         parsed = F.from_json("payload", "clean_text string, _bad string", {"columnNameOfCorruptRecord": "_bad"})
         rows = rows.withColumn("text", F.when(parsed["_bad"].isNull(), parsed["clean_text"]))
-        cols = [*cols, "text"]
+    return rows
+
+
+def latest_articles(rows: DataFrame, cols: list[str]) -> DataFrame:
+    """(article_id, *cols) of the latest row of each article."""
     latest = F.max_by(F.struct(*cols), F.struct("retrieved_at", "content_hash"))
     return rows.groupBy("article_id").agg(latest.alias("r")).select("article_id", "r.*")
 
 
+def articles(spark: SparkSession, sf: str, text: bool = False) -> DataFrame:
+    """The latest row of each article; with the text (null if the payload doesn't parse) only on demand."""
+    cols = ["source_id", "canonical_url", "title", "published_at", "content_hash", "retrieved_at", "first_seen_at"]
+    return latest_articles(saved_articles(spark, sf, text), [*cols, "text"] if text else cols)
+
+
 def assessments(spark: SparkSession, sf: str) -> DataFrame:
     """The latest row of each cache key, with the fields of its payload."""
     cols = ["article_id", "content_hash", "model", "prompt_version", "schema_version", "created_at", "payload"]

@@ -127,3 +127,65 @@ def test_collapse_gives_its_shuffles_back(spark):
         time.sleep(0.1)
     # All that was shuffled before the last step, texts and profiles included; counts may stay.
     assert left <= most
+
+
+def _greedy(rows, pairs):
+    """{(edition, article): (kept, survivor)} by going through the scored rows in their order; rows: (edition, article, score, time)."""
+    met = defaultdict(set)
+    for e, a, b in pairs:
+        met[e, a].add(b)
+        met[e, b].add(a)
+    out = {}
+    for e, a, _, _ in sorted((r for r in rows if r[2] is not None), key=lambda r: (-r[2], r[3] is not None, r[3] or 0, r[1])):
+        first = [b for b, (kept, _) in ((b, out.get((e, b), (False, None))) for b in out.get(e, []) if b in met[e, a]) if kept]
+        out.setdefault(e, []).append(a)
+        out[e, a] = (not first, first[0] if first else None)
+    return {k: v for k, v in out.items() if isinstance(k, tuple)}
+
+
+def _tables(spark, folder, rows):
+    """articles and ranked_articles of rows of `_rows`, with times; every article is saved twice, first with another text, and one has no text any more."""
+    import json
+    from datetime import datetime, timedelta, timezone
+
+    at = datetime(2026, 6, 1, tzinfo=timezone.utc)
+    saved = [(i, s, t, at + timedelta(days=d), json.dumps({"clean_text": x if d else "an earlier text"})) for _, i, s, _, t, x in rows for d in (0, 1)]
+    saved.append((rows[0][1], rows[0][2], rows[0][4], at + timedelta(days=2), '{"clean_text": "cut'))
+    spark.createDataFrame(saved, "article_id string, source_id string, title string, retrieved_at timestamp, payload string").selectExpr("*", "'u' canonical_url", "retrieved_at published_at", "'h' content_hash", "retrieved_at first_seen_at").write.parquet(f"{folder}/articles.parquet")
+    ranked = [(e, i, s, None if k % 11 == 10 else score - score % 8, None if k % 7 == 6 else at + timedelta(days=k % 3)) for k, (e, i, s, score, _, _) in enumerate(rows)]
+    spark.createDataFrame(ranked, "edition_id string, article_id string, source_id string, final_score int, published_at timestamp").selectExpr("*", "'n' source_name", "1 source_priority", "'c' category", "published_at ranked_at").write.parquet(f"{folder}/ranked_articles.parquet")
+    return [(e, i, score, t) for e, i, _, score, t in ranked]
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_collapse_agrees_with_brute_force(spark, monkeypatch, tmp_path, small):
+    from quillstream.plans import catalogue
+
+    if small:
+        for name, value in {"UNIT": 8, "LEAST_BLOCK": 4, "MOST_BLOCK": 8}.items():
+            monkeypatch.setattr(similarity, name, value)
+    rows = _rows(7)
+    ranked = _tables(spark, tmp_path, rows)
+    scored = [(e, i, s, -1 if (score := r[2]) is None else score, t, x) for (e, i, s, _, t, x), r in zip(rows, ranked)][1:]
+    want = _greedy(ranked[1:], _brute(scored, 62))
+    got = {(r["edition_id"], r["article_id"]): (r["kept"], r["survivor"]) for r in catalogue.similar_event_collapse(spark, str(tmp_path)).collect()}
+    assert got == want and 0 < sum(not kept for kept, _ in got.values()) < len(got)
+
+
+def test_collapse_stores_no_row_per_pair(spark, tmp_path):
+    from quillstream.plans import catalogue
+
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(300)]
+    base = [rng.choice(words) for _ in range(60)]
+    rows = [("e", f"a{k:03d}", None, 90, "Title", " ".join(w if rng.random() < 0.8 else rng.choice(words) for w in base)) for k in range(80)]
+    _tables(spark, tmp_path, rows)
+    got, most = _written(spark, lambda: catalogue.similar_event_collapse(spark, str(tmp_path)).where("NOT kept").count())
+    assert got > 60 and most <= len(rows)  # 2,405 pairs
+
+
+def test_threshold_is_met_as_sql_rounds():
+    rounded = lambda x: math.floor(round(x * 1e10) / 10 + 0.5) / 1e9
+    for threshold in (0.21, 0.5, 0.123456789):
+        least = similarity._rounded_least(threshold)
+        assert rounded(least) >= threshold > rounded(least - 2e-10)
