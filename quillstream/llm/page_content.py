@@ -25,10 +25,13 @@ announces nothing; blank lines are never furniture; with no sample every line is
 
 from __future__ import annotations
 
-import math
+import functools
 import re
 import zlib
 from collections import deque
+from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +41,7 @@ from pyspark.sql import functions as F
 from quillstream.functions.urls import let
 from quillstream.llm.common import article_texts, latest_only
 from quillstream.llm.repeated_lines import line_letters
+from quillstream.llm.textkernel import alnum_table
 from quillstream.runtime import materialize
 
 #: Pages the classifier is trained on, and characters that such a page may have (so that the sample is bounded in bytes too); hashed word weights; capacities of edges and their upper bound at terminals.
@@ -51,6 +55,7 @@ EDGE_LIKE, EDGE_UNLIKE, EDGE_SECOND, MOST = 0.6, 0.15, 0.25, 9.0
 
 _WORD = re.compile(r"[^\W\d_]+")
 _SEPARATED = re.compile(r"\s[|•·/›»>]\s")
+_SEPARATOR = re.compile(r"[|•·/›»>]")
 _STAMP = re.compile(r"^\W*(\d{4}-\d{2}-\d{2}|\d{1,2}[./]\d{1,2}[./]\d{2,4})([T ,]*(at|a las)?\s*\d{1,2}:\d{2}.*)?\W*$", re.I)
 _TIME = re.compile(r"\b\d{1,2}:\d{2}\b|\b\d{4}-\d{2}-\d{2}\b|\b\d{1,2}\.\d{1,2}\.\d{4}\b")
 _BULLET = re.compile(r"^\s*[-–—•*]\s")
@@ -77,127 +82,194 @@ DENSE = [
     "before", "after", "first", "last", "byline", "often", "often_twice", "share", "prev_other", "next_other", "between", "colon", "furniture_word", "long_rare", "led", "followed", "names_source", "spec", "subject_short",
 ]
 _COL = {name: i for i, name in enumerate(DENSE)}
-_cache: dict[str, int] = {}
-_NO_DIGITS = {ord(c): None for c in "0123456789"}
+#: Lines taken through numpy at once; a page is never parted.
+TOGETHER = 4096
 
 
-def _bucket(token: str) -> int:
-    i = _cache.get(token)
-    if i is None:
-        if len(_cache) > 200_000:
-            _cache.clear()
-        i = _cache[token] = zlib.crc32(token.encode()) % BUCKETS
-    return i
+class _Numbers(dict):
+    """Number of each token that was met: its bucket, and for words of FURNITURE, whose numbers all differ, a multiple of BUCKETS more."""
 
+    def __missing__(self, token: str) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        i = self[token] = zlib.crc32(token.encode()) % BUCKETS + BUCKETS * _FURNITURE.get(token, 0)
+        return i
 
-def page_features(lines: list[str], title: str, source: str, own: np.ndarray, everywhere: np.ndarray, other: np.ndarray, tail: np.ndarray, led: np.ndarray, followed: np.ndarray, pages: int, rules_too: bool = True):
-    """Dense features (lines x DENSE), hashed words per line, and what the labelling rules say (1 furniture, 0 story, -1 nothing).
 
+_FURNITURE = {word: i for i, word in enumerate(sorted(FURNITURE), 1)}
+_numbers = _Numbers()
+
+
+@functools.lru_cache(maxsize=1)
+def _letter_table() -> np.ndarray:
+    """True for the code points that `_WORD` takes."""
+    return alnum_table() & ~np.fromiter((chr(i).isdecimal() for i in range(0x110000)), dtype=bool, count=0x110000)
+
+
+@dataclass
+class _Words:
+    """Words in lower case of all lines, one after another, and their numbers; `first` and `letter_at` have one entry more than lines."""
+
+    words: list[str]
+    number: np.ndarray
+    first: np.ndarray  # per line: index of its first word
+    letters: str  # of all lines
+    letter_at: np.ndarray  # per line: index of its first letter
+    digits: np.ndarray  # per line: how many of 0 to 9 it has
+
+
+def _words(lines: list[str]) -> _Words:
+    """The words of lines that have no line feed within."""
+    cp = np.frombuffer(("\n".join(lines).lower() + "\n").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    end = np.flatnonzero(cp == 10)
+    inside = _letter_table()[cp]
+    begins = np.flatnonzero(inside & ~np.concatenate([[False], inside[:-1]]))
+    words = np.where(inside, cp, np.uint32(32)).tobytes().decode("utf-32-le", "surrogatepass").split()
+
+    def per_line(at: np.ndarray) -> np.ndarray:
+        return np.concatenate([[0], np.searchsorted(at, end)])
+
+    number = np.fromiter(map(_numbers.__getitem__, words), dtype=np.int64, count=len(words))
+    digits = np.diff(per_line(np.flatnonzero((cp >= 48) & (cp <= 57))))
+    return _Words(words, number, per_line(begins), cp[inside].tobytes().decode("utf-32-le", "surrogatepass"), per_line(np.flatnonzero(inside)), digits)
+
+
+def _says(line: str, k: int, digits: int) -> tuple:
+    """What a line of k words says by itself, wherever it stands, in the order in which `page_features` takes it."""
+    shown = line.strip()
+    separated = _SEPARATOR.search(line) is not None and len(_SEPARATED.findall(line)) + line.count(" / ") >= 2
+    return (
+        _SENTENCE_END.search(line[-8:]) is not None, _BULLET.match(line) is not None, separated, "©" in line or shown[:3].lower() == "(c)",
+        k <= 4 and _STAMP.match(shown) is not None, k <= 6 and _TIME.search(line) is not None, shown.isupper(), ": " in line and _LABELLED.match(line) is not None,
+        k <= 6 and _BYLINE.match(line) is not None, ":" in shown, separated and _FIGURE.search(line) is not None, digits / max(1, len(shown)),
+    )
+
+
+def page_features(pages: list[tuple], rules_too: bool = True):
+    """Of all lines of the pages, one after another: dense features (lines x DENSE), hashed words as (line, bucket), and what the labelling rules say (1 furniture, 0 story, -1 nothing).
+
+    A page, of a line at least: (lines, title, source, own, everywhere, other, tail, led, followed, pages).
     own, everywhere: articles of the source, and of all, with the line.  other,
     tail: whether the line, or what follows its first colon, is another article's title.
     led, followed: the share of all its places where a paragraph stands before, or after it.
     pages: articles of the source.
     """
+    lines = [line for page in pages for line in page[0]]
     n = len(lines)
-    own, everywhere, other, tail, led, followed = (v.tolist() for v in (own, everywhere, other, tail, led, followed))
-    words = [_WORD.findall(line.lower()) for line in lines]
-    sentences = [_SENTENCE_END.search(line[-8:]) is not None for line in lines]
-    labelled = [_LABELLED.match(line) is not None for line in lines]
-    rare_long = [len(words[i]) >= 9 and own[i] < 8 and sentences[i] for i in range(n)]
-    whole = [i for i in range(n) if rare_long[i] and not other[i] and not labelled[i]]
-    lo, hi = (whole[0], whole[-1]) if whole else (n, -1)
-    title_words = _WORD.findall(title.lower())
-    joined = "".join(title_words)
-    names = "".join(_WORD.findall(source.lower()))
-    subjects = {w for w in title_words if len(w) >= 7}
-    tokens: list[list[int]] = []
-    dense: list[tuple] = []
-    rules: list[int] = []
-    for i, line in enumerate(lines):
-        w, sentence, seen = words[i], sentences[i], own[i]
-        shown = line.strip()
-        bullet = _BULLET.match(line) is not None
-        between = 0 < i < n - 1 and lo < i < hi
-        k, letters = len(w), "".join(w)
-        is_title = joined != "" and letters.startswith(joined) and len(letters) <= len(joined) + 30
-        separated = len(_SEPARATED.findall(line)) + line.count(" / ") >= 2
-        stamp = k <= 4 and _STAMP.match(shown) is not None
-        told = len(FURNITURE.intersection(w))
-        said, notice = told > 0, told >= SEVERAL and k <= APART * told
-        rights = "©" in line or "copyright" in w or shown[:3].lower() == "(c)"
-        about = not is_title and not subjects.isdisjoint(w)
-        named = names != "" and names in letters and not is_title
-        timed = k <= 6 and _TIME.search(line) is not None
-        digits = len(shown) - len(shown.translate(_NO_DIGITS))
-        part = seen / pages if seen >= 3 else 0.0
-        byline = k <= 6 and _BYLINE.match(line) is not None
-        spec = separated and _FIGURE.search(line) is not None
-        tokens.append(sorted({_bucket(t) for t in w} | {_bucket("^" + w[0]), _bucket("$" + w[-1])}) if k else [])
-        pointer, points = other[i] and not is_title, tail[i] and not is_title
-        short = about and k <= 6 and not other[i] and not tail[i]
-        before, after = i > 0, i + 1 < n
-        prev_other, next_other = before and other[i - 1], after and other[i + 1]
-        dense.append((
-            1, math.log1p(seen) / 2, seen >= 8, seen >= 3, math.log1p(everywhere[i]) / 3, is_title, pointer, points, k <= 2, 3 <= k <= 5, 6 <= k <= 11, k >= 12,
-            sentence, bullet, separated, rights, k == 0, stamp, timed, shown.isupper(), digits / max(1, len(shown)), labelled[i], about,
-            i < lo, i > hi, i == 0, i == n - 1, byline, part >= OFTEN, part >= 2 * OFTEN, part, prev_other, next_other,
-            between and k <= 5, ":" in shown, said and (notice or not (rare_long[i] and k >= 12 and seen <= 3)), rare_long[i] and k >= 12, led[i], followed[i], named, spec, short,
-        ))
-        if not rules_too:
-            continue
-        # Labelling rules, the surest first.
-        rule = -1
-        if is_title:
-            rule = 0
-        elif other[i] or tail[i] or stamp or byline or (seen >= 8 and part >= OFTEN):
-            rule = 1
-        elif spec or (short and sentence and seen < 8):
-            rule = 0
-        elif rights or (separated and k <= 25 and not sentence):
-            rule = 1
-        elif bullet and seen < 8:
-            rule = 0
-        elif named and seen >= 4:
-            rule = 1
-        elif k <= 4 and not sentence and not said and part < SELDOM and everywhere[i] >= 8 and led[i] > 0.6 and followed[i] > 0.6 and not digits:
-            rule = 0
-        elif said and (seen >= 4 or k <= 8 or notice) and not about:
-            rule = 1
-        elif k >= 6 and (seen >= 8 or (everywhere[i] >= 8 and k <= 14)):
-            rule = 1
-        elif about and sentence and seen < 8:
-            rule = 0
-        elif sentence and k >= 6 and not labelled[i] and lo <= i <= hi and seen <= 3 and not said:
-            rule = 0
-        elif labelled[i] and sentence and (prev_other or next_other):
-            rule = 1
-        elif seen >= 8 and not between and k >= 1 and min(led[i], followed[i]) < 0.4:
-            rule = 1
-        elif between and 1 <= k <= 4 and not sentence and not said and rare_long[i + 1] and not digits:
-            rule = 0
-        rules.append(rule)
-    x = np.array(dense, dtype=np.float32).reshape(n, len(DENSE))
-    return x, tokens, np.array(rules, dtype=np.int8)
+    if not n:
+        return np.zeros((0, len(DENSE)), np.float32), (np.zeros(0, np.int64),) * 2, np.zeros(0, np.int8)
+    w = _words(lines)
+    k = np.diff(w.first)
+    says = np.fromiter(chain.from_iterable(map(_says, lines, k.tolist(), w.digits.tolist())), dtype=float, count=12 * n).reshape(n, 12)
+    sentence, bullet, separated, rights, stamp, timed, capitals, labelled, byline, colon, spec = says[:, :11].T != 0
+    digits = says[:, 11]
+    # Hashed words, with the first and the last of each line once more as such.
+    some = np.flatnonzero(k)
+    ends = np.fromiter((_numbers[mark + w.words[i]] for mark, at in (("^", w.first[:-1]), ("$", w.first[1:] - 1)) for i in at[some].tolist()), dtype=np.int64, count=2 * len(some))
+    row = np.repeat(np.arange(n), k)
+    codes = np.sort(np.concatenate([row, some, some]) * BUCKETS + np.concatenate([w.number, ends]) % BUCKETS)
+    tokens = np.divmod(codes[np.diff(codes, prepend=-1) != 0], BUCKETS)
+    fixed = w.number >= BUCKETS
+    told = np.bincount(np.unique(np.stack([row[fixed], w.number[fixed]]), axis=1)[0], minlength=n)
+    rights[row[w.number == _numbers["copyright"]]] = True
+    titled: list[tuple[bool, bool, bool]] = []
+    first, letter_at = w.first.tolist(), w.letter_at.tolist()
+    for page_lines, title, source, *_ in pages:
+        title_words = _WORD.findall(title.lower())
+        joined = "".join(title_words)
+        names = "".join(_WORD.findall(source.lower()))
+        subjects = {word for word in title_words if len(word) >= 7}
+        for i in range(len(titled), len(titled) + len(page_lines)):
+            letters = w.letters[letter_at[i] : letter_at[i + 1]]
+            if joined != "" and letters.startswith(joined) and len(letters) <= len(joined) + 30:
+                titled.append((True, False, False))
+            else:
+                titled.append((False, not subjects.isdisjoint(w.words[first[i] : first[i + 1]]), names != "" and names in letters))
+    is_title, about, named = np.array(titled, dtype=bool).T
+    seen, everywhere, other, tail, led, followed = (np.concatenate([page[i] for page in pages]) for i in range(3, 9))
+    other, tail = other.astype(bool), tail.astype(bool)
+    size = np.array([len(page[0]) for page in pages], dtype=np.int64)
+    start = np.cumsum(size) - size
+    at = np.arange(n) - np.repeat(start, size)  # place in the page
+    opens, closes = at == 0, at == np.repeat(size, size) - 1
+    rare_long = (k >= 9) & (seen < 8) & sentence
+    whole = rare_long & ~other & ~labelled
+    lo, hi = (np.repeat(f.reduceat(np.where(whole, at, none), start), size) for f, none in ((np.minimum, np.repeat(size, size)), (np.maximum, -1)))
+    between = (lo < at) & (at < hi)
+    said, notice = told > 0, (told >= SEVERAL) & (k <= APART * told)
+    part = np.where(seen >= 3, seen / np.repeat([page[9] for page in pages], size), 0.0)
+
+    def before(v: np.ndarray) -> np.ndarray:
+        return np.concatenate([[False], v[:-1]]) & ~opens
+
+    def after(v: np.ndarray) -> np.ndarray:
+        return np.concatenate([v[1:], [False]]) & ~closes
+
+    prev_other, next_other = before(other), after(other)
+    short = about & (k <= 6) & ~other & ~tail
+    x = np.empty((n, len(DENSE)), dtype=np.float32)
+    for i, column in enumerate((
+        1, np.log1p(seen) / 2, seen >= 8, seen >= 3, np.log1p(everywhere) / 3, is_title, other & ~is_title, tail & ~is_title, k <= 2, (k >= 3) & (k <= 5), (k >= 6) & (k <= 11), k >= 12,
+        sentence, bullet, separated, rights, k == 0, stamp, timed, capitals, digits, labelled, about,
+        at < lo, at > hi, opens, closes, byline, part >= OFTEN, part >= 2 * OFTEN, part, prev_other, next_other,
+        between & (k <= 5), colon, said & (notice | ~(rare_long & (k >= 12) & (seen <= 3))), rare_long & (k >= 12), led, followed, named, spec, short,
+    )):
+        x[:, i] = column
+    if not rules_too:
+        return x, tokens, np.zeros(0, dtype=np.int8)
+    # Labelling rules, the surest first.
+    rules = (
+        (is_title, 0),
+        (other | tail | stamp | byline | ((seen >= 8) & (part >= OFTEN)), 1),
+        (spec | (short & sentence & (seen < 8)), 0),
+        (rights | (separated & (k <= 25) & ~sentence), 1),
+        (bullet & (seen < 8), 0),
+        (named & (seen >= 4), 1),
+        ((k <= 4) & ~sentence & ~said & (part < SELDOM) & (everywhere >= 8) & (led > 0.6) & (followed > 0.6) & (digits == 0), 0),
+        (said & ((seen >= 4) | (k <= 8) | notice) & ~about, 1),
+        ((k >= 6) & ((seen >= 8) | ((everywhere >= 8) & (k <= 14))), 1),
+        (about & sentence & (seen < 8), 0),
+        (sentence & (k >= 6) & ~labelled & (lo <= at) & (at <= hi) & (seen <= 3) & ~said, 0),
+        (labelled & sentence & (prev_other | next_other), 1),
+        ((seen >= 8) & ~between & (k >= 1) & (np.minimum(led, followed) < 0.4), 1),
+        (between & (k >= 1) & (k <= 4) & ~sentence & ~said & after(rare_long) & (digits == 0), 0),
+    )
+    return x, tokens, np.select([where for where, _ in rules], [says for _, says in rules], -1).astype(np.int8)
+
+
+def _groups(pages, lines: int = TOGETHER) -> Iterator[list[tuple]]:
+    """Pages, one after another, in lists of about so many lines."""
+    group, n = [], 0
+    for page in pages:
+        group.append(page)
+        n += len(page[0])
+        if n >= lines:
+            yield group
+            group, n = [], 0
+    if group:
+        yield group
 
 
 def fit(pages: list[tuple], steps: int = 300, rate: float = 0.1, decay: float = 1e-4) -> np.ndarray:
-    """Logistic regression on the lines that rules label; pages: arguments of `page_features`."""
+    """Logistic regression on the lines that rules label; pages as in `page_features`."""
     dense, rows, cols, y = [], [], [], []
     at = 0
-    for page in pages:
-        x, tokens, rule = page_features(*page)
-        for i in np.flatnonzero(rule >= 0):
-            dense.append(x[i])
-            y.append(rule[i])
-            rows += [at] * len(tokens[i])
-            cols += tokens[i]
-            at += 1
+    for group in _groups(pages):
+        x, tokens, rule = page_features(group)
+        told = np.flatnonzero(rule >= 0)
+        dense.append(x[told])
+        y.append(rule[told])
+        row, bucket = tokens
+        kept = rule[row] >= 0
+        rows.append(at + np.searchsorted(told, row[kept]))
+        cols.append(bucket[kept])
+        at += len(told)
     weights = np.zeros(len(DENSE) + BUCKETS)
     if not at:
         weights[0] = -MOST
         return weights
-    d, y = np.array(dense), np.array(y, dtype=float)
-    r, k = np.array(rows, dtype=np.int64), np.array(cols, dtype=np.int64)
+    d, y = np.concatenate(dense), np.concatenate(y).astype(float)
+    r, k = np.concatenate(rows), np.concatenate(cols)
     scale = 1 / np.sqrt(np.maximum(np.bincount(r, minlength=at), 1))
     # Both classes weigh alike.
     share = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
@@ -211,12 +283,11 @@ def fit(pages: list[tuple], steps: int = 300, rate: float = 0.1, decay: float =
     return weights
 
 
-def line_costs(weights: np.ndarray, x: np.ndarray, tokens: list[list[int]]) -> np.ndarray:
+def line_costs(weights: np.ndarray, x: np.ndarray, tokens: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """Log-odds of furniture per line."""
-    size = np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens))
-    flat = np.fromiter((t for line in tokens for t in line), dtype=np.int64, count=int(size.sum()))
-    words = np.bincount(np.repeat(np.arange(len(tokens)), size), weights[len(DENSE) + flat], minlength=len(tokens))
-    return x @ weights[: len(DENSE)] + words / np.sqrt(np.maximum(size, 1))
+    row, bucket = tokens
+    words = np.bincount(row, weights[len(DENSE) + bucket], minlength=len(x))
+    return np.einsum("ij,j->i", x.astype(float), weights[: len(DENSE)]) + words / np.sqrt(np.maximum(np.bincount(row, minlength=len(x)), 1))
 
 
 def minimum_cut(odds: np.ndarray, edges: list[tuple[int, int, float]]) -> np.ndarray:
@@ -291,14 +362,34 @@ def minimum_cut(odds: np.ndarray, edges: list[tuple[int, int, float]]) -> np.nda
     return label
 
 
+def _shape(x: np.ndarray) -> np.ndarray:
+    """What lines are alike in."""
+    return x[:, _COL["words12"]] + 2 * x[:, _COL["sentence"]] + 4 * x[:, _COL["bullet"]]
+
+
 def page_edges(x: np.ndarray) -> list[tuple[int, int, float]]:
     """Smoothness edges (i, j, capacity) between lines next to each other and one apart."""
-    shape = (x[:, _COL["words12"]] + 2 * x[:, _COL["sentence"]] + 4 * x[:, _COL["bullet"]]).tolist()
+    shape = _shape(x).tolist()
     n = len(x)
     out = [(i, i + 1, EDGE_LIKE if shape[i] == shape[i + 1] else EDGE_UNLIKE) for i in range(n - 1)]
     return out + [(i, i + 2, EDGE_SECOND) for i in range(n - 2) if shape[i] == shape[i + 2]]
 
 
+def cut_pages(odds: np.ndarray, x: np.ndarray, size: list[int]) -> np.ndarray:
+    """`minimum_cut` of each of several pages one after another, of `size` lines each; only pages with a line that isn't fixed need a flow."""
+    label = np.clip(odds, -MOST, MOST) > 0
+    shape, page, weight = _shape(x), np.repeat(np.arange(len(size)), size), np.zeros(len(odds))
+    for apart, alike, unlike in ((1, EDGE_LIKE, EDGE_UNLIKE), (2, EDGE_SECOND, 0.0)):
+        w = np.where(page[:-apart] != page[apart:], 0.0, np.where(shape[:-apart] == shape[apart:], alike, unlike))
+        weight[apart:] += w
+        weight[:-apart] += w
+    start = np.cumsum(size) - size
+    for p in np.unique(page[np.abs(np.clip(odds, -MOST, MOST)) <= weight]).tolist():
+        own = slice(start[p], start[p] + size[p])
+        label[own] = minimum_cut(odds[own], page_edges(x[own]))
+    return label
+
+
 def _keyed(texts: DataFrame) -> DataFrame:
     """Texts with, per line, the keys that are counted: in its source, in all sources, as a title.  A key of 0 counts nothing."""
     source = F.concat(F.lit("s:"), F.coalesce("source_id", F.lit("")))
@@ -403,7 +494,7 @@ def _with_counts(texts: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def _pages(batch: pa.RecordBatch):
-    """(row, numbers of the non-blank lines, arguments of `page_features`) of each page of a batch."""
+    """(row, numbers of the non-blank lines, the page as in `page_features`) of each row of a batch."""
     row, f, offsets = _columns(batch)
     head = batch.column("head").to_numpy().view(np.uint64)[row] if len(row) else np.zeros(0, np.uint64)
     flat = batch.column("known").flatten()
@@ -437,15 +528,14 @@ def _pages(batch: pa.RecordBatch):
     places = np.maximum(everywhere, 1)
     led, followed = (count(f["everywhere"], name, own_kind & mark != 0) / places for name, mark in (("led", _LED), ("followed", _FOLLOWED)))
     pages = count(batch.column("all").to_numpy().view(np.uint64), "n", np.ones(batch.num_rows, dtype=np.int64))
-    lines, titles, sources = (batch.column(c).to_pylist() for c in ("lines", "title", "source"))
-    there = f["there"]
-    for r in range(batch.num_rows):
-        kept = np.flatnonzero(there[offsets[r] : offsets[r + 1]]).tolist()
-        if not kept:
-            yield r, [], None
-            continue
-        at = offsets[r] + np.array(kept)
-        yield r, kept, ([lines[r][i] for i in kept], titles[r], sources[r], own[at], everywhere[at], other[at], tail[at], led[at], followed[at], int(pages[r]))
+    titles, sources = (batch.column(c).to_pylist() for c in ("title", "source"))
+    shown = np.flatnonzero(f["there"])
+    lines = batch.column("lines").flatten().to_numpy(zero_copy_only=False)[shown].tolist()
+    no = (shown - offsets[row[shown]]).tolist()
+    own, everywhere, other, tail, led, followed = (v[shown] for v in (own, everywhere, other, tail, led, followed))
+    begin = np.searchsorted(shown, offsets).tolist()
+    for r, (a, b) in enumerate(zip(begin, begin[1:])):
+        yield r, no[a:b], (lines[a:b], titles[r], sources[r], own[a:b], everywhere[a:b], other[a:b], tail[a:b], led[a:b], followed[a:b], int(pages[r])) if a < b else None
 
 
 def label_lines(articles: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -463,27 +553,28 @@ def label_lines(articles: DataFrame, sample: int = SAMPLE) -> DataFrame:
     def per_task(batches):
         w = shared.value
         for batch in batches:
-            row, no, side, odds = [], [], [], []
-            for r, kept, page in _pages(batch):
-                row.append(r)  # a mark, so that the latest row of an article is known even if it has no line
-                no.append(0)
-                side.append(False)
-                odds.append(0.0)
-                if page is None:
-                    continue
-                x, tokens, _ = page_features(*page, rules_too=False)
+            # A mark for each row, so that the latest row of an article is known even if it has no line.
+            none = np.zeros(batch.num_rows)
+            row, no, side, odds = [np.arange(batch.num_rows)], [none], [none], [none]
+            held = [p for p in _pages(batch) if p[2] is not None]
+            done = 0
+            for group in _groups(page for _, _, page in held):
+                mine = held[done : done + len(group)]
+                done += len(group)
+                size = [len(kept) for _, kept, _ in mine]
+                x, tokens, _ = page_features(group, rules_too=False)
                 z = line_costs(w, x, tokens)
                 z[x[:, _COL["title"]] > 0] = -MOST  # the headline is the story's by definition, and so are list lines
                 listed = (x[:, _COL["bullet"]] > 0) & (x[:, _COL["other_title"]] + x[:, _COL["tail_title"]] == 0)
                 z[listed] = np.minimum(z[listed], -2.0)
                 z[x[:, _COL["stamp"]] > 0] = MOST  # nothing but a date is a stamp
-                label = minimum_cut(z, page_edges(x))
-                row += [r] * len(kept)
-                no += [i + 1 for i in kept]
-                side += label.tolist()
-                odds += z.tolist()
-            take = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("article_id").take(take), batch.column("stamp").take(take), pa.array(no, pa.int32()), pa.array(side, pa.bool_()), pa.array(odds, pa.float64())], ["article_id", "stamp", "line_no", "furniture", "odds"])
+                row.append(np.repeat([r for r, _, _ in mine], size))
+                no.append(np.fromiter(chain.from_iterable(kept for _, kept, _ in mine), dtype=np.int64, count=sum(size)) + 1)
+                side.append(cut_pages(z, x, size))
+                odds.append(z)
+            take = pa.array(np.concatenate(row), pa.int64())
+            no, side, odds = np.concatenate(no).astype(np.int32), np.concatenate(side).astype(bool), np.concatenate(odds)
+            yield pa.RecordBatch.from_arrays([batch.column("article_id").take(take), batch.column("stamp").take(take), pa.array(no), pa.array(side), pa.array(odds)], ["article_id", "stamp", "line_no", "furniture", "odds"])
 
     labelled = _with_counts(article_texts(articles), counts).mapInArrow(per_task, "article_id string, stamp struct<at: bigint, h: bigint>, line_no int, furniture boolean, odds double")
     return latest_only(labelled).where("line_no > 0").drop("stamp").dropDuplicates(["article_id", "line_no"])
